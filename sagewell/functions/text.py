@@ -14,6 +14,9 @@ BLANK = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# What must be rewritten to collapse blanks: runs, and single blanks other than the plain one.
+UNEVEN = BLANK + "{2,}|" + BLANK.replace(r"[\s", r"[\t\n\x{0b}\f\r")
+
 
 @lru_cache(maxsize=1)
 def latin_fold() -> tuple[str, str]:
@@ -31,7 +34,7 @@ def latin_fold() -> tuple[str, str]:
 
 def collapse(text: Column) -> Column:
     """White-space runs become one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def strip(text: Column) -> Column:
@@ -42,8 +45,11 @@ def strip(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Lower-case, accent-free ``[a-z0-9]+`` words joined by single blanks."""
     accented, plain = latin_fold()
-    folded = F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}", "")
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    lowered = F.lower(text)
+    folded = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}", "")
+    # Pure ASCII text has nothing to fold; ``translate`` walks a dictionary for every character.
+    ready = F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(folded)
+    return F.trim(F.regexp_replace(ready, "[^a-z0-9]+", " "))
 
 
 def words(text: Column) -> Column:

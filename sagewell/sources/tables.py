@@ -11,10 +11,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when a table has fewer files than there are cores.
+
+    Text jobs are heavy per row, so a table kept in one small file would run in one task. A table
+    of many files is left alone: its own splits already occupy the cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The ``documents`` table in page shape: every document is a page of its source's site."""
     doc = F.col("doc_id").cast("string")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id",
         F.col("source").alias("site_id"),
         F.concat(
