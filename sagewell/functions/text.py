@@ -57,9 +57,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(collapse(text), " "), lambda w: w != "")
 
 
-def search_tokens(normalized_text: Column) -> Column:
-    """Distinct words of at least two characters of an already normalised text."""
-    return F.array_distinct(F.filter(F.split(normalized_text, " "), lambda w: F.length(w) >= 2))
+def search_tokens(normalized_text: Column, least_chars: int = 2) -> Column:
+    """Distinct words of at least ``least_chars`` characters of an already normalised text."""
+    return F.array_distinct(F.filter(F.split(normalized_text, " "), lambda w: F.length(w) >= least_chars))
 
 
 def contains_any(text: Column, keywords) -> Column:
