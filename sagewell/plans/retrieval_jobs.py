@@ -76,12 +76,14 @@ def hashed(name: str, relation: str) -> str:
 _wanted = ", ".join(
     f"CASE WHEN {t.any_of('lower(text)', kws)} THEN {t.text(name)} END" for name, kws in vocab.SEARCH_RULES
 )
-QUERIES_SQL = f"""
-q AS (SELECT item_id AS id, text, {t.normalized('text')} AS norm_text, lower(text) AS low,
-      list_filter([{_wanted}], lambda x: x IS NOT NULL) AS wanted FROM benchmark),
+BENCHMARK = "(SELECT item_id AS id, text FROM benchmark)"
+QUERIES_TEMPLATE = f"""
+q AS (SELECT id, text, {t.normalized('text')} AS norm_text, lower(text) AS low,
+      list_filter([{_wanted}], lambda x: x IS NOT NULL) AS wanted FROM <source>),
 q_terms AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(string_split(norm_text, ' ')) AS term FROM q) WHERE length(term) >= 2),
 q_long AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest(string_split({t.collapse('low')}, ' ')) AS tok FROM q) WHERE length(tok) >= 4),
 {hashed('qv', '(SELECT id, text FROM q)')}"""
+QUERIES_SQL = QUERIES_TEMPLATE.replace("<source>", BENCHMARK)
 
 CHUNK_SIDE = f"""
 kc AS (SELECT content_hash AS id, content AS text, * FROM chunks),
@@ -161,7 +163,10 @@ placed AS (SELECT *, CASE WHEN list_contains(wanted, category) AND row_number()
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place NULLS LAST, fused_rank) AS rank FROM placed) WHERE rank <= 5)"""
 
 
-def search_sql(tail: str, mode: str = "per_channel", scope: str = "") -> str:
+def search_sql(
+    tail: str, mode: str = "per_channel", scope: str = "", source: str = BENCHMARK, before: str = "", after: str = ""
+) -> str:
+    """A full search over the queries of ``source``; ``before`` and ``after`` are further CTEs."""
     if mode == "per_channel":
         body = FOUND + ", " + boosts_sql("found", "boosted") + ", " + FUSION
     else:
@@ -170,7 +175,8 @@ def search_sql(tail: str, mode: str = "per_channel", scope: str = "") -> str:
 boosted AS (SELECT *, 'vector' AS channel FROM full_rows UNION ALL SELECT *, 'lexical' FROM full_rows WHERE lexical > 0)"""
         body = full + ", " + both + ", " + FUSION
     side = CHUNK_SIDE.replace("* FROM chunks)", f"* FROM chunks {scope})")
-    return t.with_chunks(tail, f", {SITES_SQL}, {QUERIES_SQL}, {side}, {body}")
+    asked = QUERIES_TEMPLATE.replace("<source>", source)
+    return t.with_chunks(tail, f"{before}, {SITES_SQL}, {asked}, {side}, {body}{after}")
 
 
 # --- embeddings ------------------------------------------------------------------------------
