@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sagewell-ckpt-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder every executor can reach: under ``spark.checkpoint.dir``, or local in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix=f"sagewell-{purpose}-") + "/out"

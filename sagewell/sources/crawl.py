@@ -43,6 +43,10 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE).json(path, multiLine=True)
 
 
+def parse_cases(df: DataFrame, column: str = "value") -> DataFrame:
+    return df.select(F.from_json(column, CASE).alias("c")).select("c.*")
+
+
 def parse_envelopes(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.from_json(column, ENVELOPE).alias("e")).select("e.data")
 

@@ -22,17 +22,16 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: list[str], or
 def append_new(spark, path: str, incoming: DataFrame, keys: list[str], order: list[Column]) -> int:
     """Append the absent rows to a Parquet table and return how many were new.
 
-    The keys of the batch are written with a batch tag first, so the count reads what was stored
-    rather than computing the batch a second time.
+    Running the same batch again adds nothing, so a retried streaming batch is harmless. The count
+    is the growth of the stored table; the batch itself is computed once.
     """
-    try:
+    exists = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if exists.getFileSystem(conf).exists(exists):
         target = spark.read.parquet(path)
-        new = insert_if_absent(target, incoming, keys, order)
-        before = target.count()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        new, before = first_per(incoming, keys, order), 0
+        before, new = target.count(), insert_if_absent(target, incoming, keys, order)
+    else:
+        before, new = 0, first_per(incoming, keys, order)
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
 
