@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +26,12 @@ def append_new(spark, path: str, incoming: DataFrame, keys: list[str], order: li
     Running the same batch again adds nothing, so a retried streaming batch is harmless. The count
     is the growth of the stored table; the batch itself is computed once.
     """
-    exists = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if exists.getFileSystem(conf).exists(exists):
+    try:
         target = spark.read.parquet(path)
         before, new = target.count(), insert_if_absent(target, incoming, keys, order)
-    else:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         before, new = 0, first_per(incoming, keys, order)
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
