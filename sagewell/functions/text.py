@@ -45,11 +45,14 @@ def strip(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Lower-case, accent-free ``[a-z0-9]+`` words joined by single blanks."""
     accented, plain = latin_fold()
-    lowered = F.lower(text)
-    folded = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}", "")
-    # Pure ASCII text has nothing to fold; ``translate`` walks a dictionary for every character.
-    ready = F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(folded)
-    return F.trim(F.regexp_replace(ready, "[^a-z0-9]+", " "))
+
+    def fold(lowered: Column) -> Column:
+        folded = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}", "")
+        # Pure ASCII text has nothing to fold; ``translate`` walks a dictionary for every character.
+        ready = F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(folded)
+        return F.trim(F.regexp_replace(ready, "[^a-z0-9]+", " "))
+
+    return let(F.lower(text), fold)
 
 
 def words(text: Column) -> Column:
@@ -76,17 +79,25 @@ def first_rule(text: Column, rules, default: str | None) -> Column:
     ``rules`` is an ordered list of (name, keywords). It is compiled into one projection, so a
     rule table costs neither a join nor a shuffle.
     """
-    chain = None
-    for name, keywords in rules:
-        hit = contains_any(text, keywords)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return F.lit(default) if chain is None else chain.otherwise(F.lit(default))
+
+    def chain(bound: Column) -> Column:
+        named = F.lit(default)
+        for name, keywords in reversed(list(rules)):
+            named = F.when(contains_any(bound, keywords), name).otherwise(named)
+        return named
+
+    # Bound once: a condition inside CASE WHEN is not shared by the code generator.
+    return let(text, chain)
 
 
 def matching_rules(text: Column, rules) -> Column:
     """Array of the names of all rules hit, in rule order."""
-    flags = [F.when(contains_any(text, keywords), F.lit(name)) for name, keywords in rules]
-    return F.filter(F.array(*flags), lambda name: name.isNotNull())
+
+    def names(bound: Column) -> Column:
+        flags = [F.when(contains_any(bound, keywords), F.lit(name)) for name, keywords in rules]
+        return F.filter(F.array(*flags), lambda name: name.isNotNull())
+
+    return let(text, names)
 
 
 def compact(text: Column, limit: int) -> Column:

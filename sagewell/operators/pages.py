@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sagewell.functions import urls as u
 from sagewell.functions import vocab
-from sagewell.functions.text import BLANK, collapse, contains_any, first_rule, strip
+from sagewell.functions.text import BLANK, collapse, contains_any, first_rule, let, strip
 from sagewell.operators.rank import first_per
 
 # What the URL filters reject.
@@ -180,21 +180,29 @@ CONTENTS_ENTRY = r"(?iU)^\s*-?\s*\[\s*\d+\s*[.)]?\s*.+#[-\w%]+"
 
 
 def clean_line(line: Column) -> Column:
+    # Mark-up needs one of these signs; most lines have none and skip the rewrites.
+    rewritten = line
     for pattern, replacement in LINE_REWRITES:
-        line = F.regexp_replace(line, pattern, replacement)
-    return strip(line)
+        rewritten = F.regexp_replace(rewritten, pattern, replacement)
+    marked = line.rlike(r"(?i)[\\\[!]|copy to clipboard|data:image")
+    return F.when(marked, strip(rewritten)).otherwise(line)
 
 
 def is_footer(line: Column) -> Column:
-    bare = strip(F.regexp_replace(F.lower(line), "^[#\\- ]+", ""))
-    found = F.lit(False)
-    for prefix in vocab.FOOTER_PREFIXES:
-        found = found | bare.startswith(prefix)
-    return found
+    def opens(bare: Column) -> Column:
+        found = F.lit(False)
+        for prefix in vocab.FOOTER_PREFIXES:
+            found = found | bare.startswith(prefix)
+        return found
+
+    return let(strip(F.regexp_replace(F.lower(line), "^[#\\- ]+", "")), opens)
 
 
 def is_noise(line: Column) -> Column:
-    lowered = F.lower(line)
+    return let(F.lower(line), lambda lowered: _noise(line, lowered))
+
+
+def _noise(line: Column, lowered: Column) -> Column:
     return (
         line.startswith("![")
         | lowered.isin(vocab.NOISE_LINES)
@@ -206,14 +214,22 @@ def is_noise(line: Column) -> Column:
 
 def cleaned_lines(markdown: Column) -> Column:
     """Non-empty lines without image mark-up (noise and footer still inside)."""
-    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), LINE_BREAK), lambda x: clean_line(strip(x)))
+    lines = F.transform(
+        F.split(F.coalesce(markdown, F.lit("")), LINE_BREAK), lambda x: let(strip(x), clean_line)
+    )
     return F.filter(lines, lambda line: line != "")
 
 
 def before_footer(lines: Column) -> Column:
     """Lines up to the first one that opens related content."""
-    at = F.array_position(F.transform(lines, is_footer), True)
-    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+    return let(lines, _cut_at_footer)
+
+
+def _cut_at_footer(lines: Column) -> Column:
+    return let(
+        F.array_position(F.transform(lines, is_footer), True),
+        lambda at: F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines),
+    )
 
 
 def drop_noise(lines: Column) -> Column:
@@ -233,15 +249,23 @@ def from_primary_heading(lines: Column, preferred=()) -> Column:
 
     def usable(line: Column) -> Column:
         label = heading_text(line)
-        return (
-            line.rlike(r"^#\s+.+") & good_label(label) & ~F.lower(label).isin(vocab.WIDGET_HEADINGS)
+        good = let(label, lambda x: good_label(x) & ~F.lower(x).isin(vocab.WIDGET_HEADINGS))
+        return F.when(line.rlike(r"^#\s+.+"), good).otherwise(F.lit(False))
+
+    def start(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, usable), True)
+        for heading in reversed(list(preferred)):
+            exact = F.array_position(lines, heading)
+            at = F.when(exact > 0, exact).otherwise(at)
+        return at
+
+    def cut(lines: Column) -> Column:
+        return let(
+            start(lines),
+            lambda at: F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(lines),
         )
 
-    at = F.array_position(F.transform(lines, usable), True)
-    for heading in reversed(list(preferred)):
-        exact = F.array_position(lines, heading)
-        at = F.when(exact > 0, exact).otherwise(at)
-    return F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(lines)
+    return let(lines, cut)
 
 
 def section_label(chunk: Column, fallback: Column) -> Column:
@@ -341,6 +365,10 @@ def sectioned_blocks(blocks: Column, title: Column) -> Column:
 
 def grouped_sections(blocks: Column) -> Column:
     """Texts of equal section joined, sections in first-seen order."""
+    return let(blocks, _group)
+
+
+def _group(blocks: Column) -> Column:
     sections = F.array_distinct(F.transform(blocks, lambda b: b["section"]))
     return F.transform(
         sections,

@@ -158,19 +158,24 @@ def query_features(queries: DataFrame, profiles, home: HomeLanguage = HomeLangua
     )
 
 
-def relevance(pairs: DataFrame, profiles, rules=None, home: HomeLanguage = HomeLanguage()) -> DataFrame:
-    """Confidence of scored (query, chunk) rows: cosine + boosts, plus the capped lexical share."""
+def adjusted(pairs: DataFrame, profiles, rules=None, home: HomeLanguage = HomeLanguage()) -> DataFrame:
+    """``adjusted``: cosine plus boosts of scored (query, chunk) rows."""
     ready = pairs.withColumn("hay", haystack()).withColumn("profile_id", profile_id(profiles, F.col("hay")))
-    boosted = ready.withColumn(
-        "adjusted", F.round(F.col("base") + keyword_boost(rules) + site_boost(profiles, home), DIGITS)
+    return (
+        ready.withColumn("_site", site_boost(profiles, home))
+        .withColumn("adjusted", F.round(F.col("base") + keyword_boost(rules) + F.col("_site"), DIGITS))
+        .drop("hay", "profile_id", "_site")
     )
+
+
+def relevance(pairs: DataFrame, profiles, rules=None, home: HomeLanguage = HomeLanguage()) -> DataFrame:
+    """Confidence of scored (query, channel, chunk) rows: ``adjusted`` plus the capped lexical share."""
+    boosted = adjusted(pairs, profiles, rules, home)
     share = F.when(
         F.col("channel") == "lexical",
         F.least(F.greatest("lexical", F.lit(0.0)) * LEXICAL_STEP, F.lit(LEXICAL_CAP)),
     ).otherwise(0.0)
-    return boosted.withColumn("confidence", F.round(F.col("adjusted") + share, DIGITS)).drop(
-        "hay", "profile_id", "adjusted"
-    )
+    return boosted.withColumn("confidence", F.round(F.col("adjusted") + share, DIGITS)).drop("adjusted")
 
 
 def channel_ranks(channels: DataFrame) -> DataFrame:
@@ -191,6 +196,30 @@ def rrf(channels: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
     return top_k(fused, ["query_id"], order, limit, "fused_rank")
 
 
+def fuse_pairs(pairs: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
+    """``rrf`` on one row per (query, chunk): ``adjusted, lexical, in_vector, in_lexical``.
+
+    Both channel ranks, the fusion and the cut are windows over the query, so hits keep their text
+    and the candidates are neither shuffled again nor joined to themselves.
+    """
+    share = F.least(F.greatest("lexical", F.lit(0.0)) * LEXICAL_STEP, F.lit(LEXICAL_CAP))
+    rows = pairs.withColumn("_vector", F.when(F.col("in_vector"), F.col("adjusted"))).withColumn(
+        "_lexical", F.when(F.col("in_lexical"), F.round(F.col("adjusted") + share, DIGITS))
+    )
+
+    def part(channel: str) -> Column:
+        order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(channel), F.asc("chunk_id"))
+        rank = F.row_number().over(order)
+        return F.when(F.col(channel).isNotNull(), 1.0 / (F.lit(k) + rank)).otherwise(0.0)
+
+    fused = rows.withColumn("_v", part("_vector")).withColumn("_l", part("_lexical"))
+    fused = fused.withColumn("score", F.greatest("_vector", "_lexical")).withColumn(
+        "fusion_score", F.round(F.col("_v") + F.col("_l"), 9)
+    )
+    order = [F.desc("score"), F.desc("fusion_score"), F.asc("chunk_id")]
+    return top_k(fused, ["query_id"], order, limit, "fused_rank").drop("_vector", "_lexical", "_v", "_l")
+
+
 def diversify(fused: DataFrame, limit: int) -> DataFrame:
     """Best hit of every wanted category first, in rule order, then the rest by rank."""
     best = F.row_number().over(W.partitionBy("query_id", "category").orderBy("fused_rank")) == 1
@@ -217,10 +246,9 @@ def scoped(chunks: DataFrame, site_id: str | None) -> DataFrame:
 
 
 def chunk_vectors(chunks: DataFrame, least_chars: int = 2) -> DataFrame:
-    """Chunk table with what the scan needs; a deployment stores this once per ingest."""
-    return with_vectors(chunks, "content").withColumn(
-        "terms", search_tokens(F.col("search_text"), least_chars)
-    )
+    """Chunk table with what the scan needs; stored vectors (``dims, weights, norm``) are used as they are."""
+    ready = chunks if "dims" in chunks.columns else with_vectors(chunks, "content")
+    return ready.withColumn("terms", search_tokens(F.col("search_text"), least_chars))
 
 
 QUERY_COLUMNS = ["query_id", "dims", "weights", "norm", "terms", "normalized", "lower", "long_tokens", "wanted"]
@@ -258,15 +286,14 @@ def hybrid_search(
                "crawled_at", "valid_until"]
     if candidate_mode == "per_channel":
         found = scan_topk(chunk_vectors(table, least), prepared, cut, lexical=lexical)
-        pairs = (
-            found.drop("confidence", "rank")
-            .join(table.select(*details, "site_aliases"), "chunk_id")
-            .join(asked, "query_id")
+        pairs = found.groupBy("query_id", "chunk_id").agg(
+            F.max("base").alias("base"),
+            F.max("lexical").alias("lexical"),
+            F.bool_or(F.col("channel") == "vector").alias("in_vector"),
+            F.bool_or(F.col("channel") == "lexical").alias("in_lexical"),
         )
-        ranked = channel_ranks(relevance(pairs, profiles, rules, home))
-        fused = rrf(ranked, cut)
-        kept = ranked.select("query_id", "wanted", *details).dropDuplicates(["query_id", "chunk_id"])
-        hits = fused.join(kept, ["query_id", "chunk_id"])
+        described = pairs.join(table.select(*details, "site_aliases"), "chunk_id").join(asked, "query_id")
+        hits = fuse_pairs(adjusted(described, profiles, rules, home), cut)
     else:
         ready = chunk_features(chunk_vectors(table), profiles, rules, home)
         featured = query_features(prepared, profiles, home)

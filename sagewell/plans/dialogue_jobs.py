@@ -17,7 +17,8 @@ from sagewell.plans import twins as t
 from sagewell.plans.chunk_jobs import document_pieces
 from sagewell.plans.page_jobs import TITLE_SQL, strip_sql
 from sagewell.plans.registry import query
-from sagewell.plans.retrieval_jobs import HOME, PROFILES, keyed_chunks, questions, search_sql, site_table
+from sagewell.plans.retrieval_jobs import HOME, PROFILES, questions, search_sql, site_table, stored_chunks
+from sagewell.session import materialized
 from sagewell.sources.tables import spread, table
 
 
@@ -357,11 +358,14 @@ def decided_questions(spark, folder):
     return ops.label_intent(questions(spark, folder)).drop("confidence").withColumn("transcript", F.col("text"))
 
 
-def hits_of(spark, folder, asked=None):
-    return se.hybrid_search(
-        questions(spark, folder) if asked is None else asked, keyed_chunks(spark, folder), site_table(spark, folder),
-        profiles=PROFILES, home=HOME,
-    )
+def searcher(spark, folder):
+    """A search function over one stored chunk table."""
+    chunks, sites = stored_chunks(spark, folder), site_table(spark, folder)
+    return lambda asked: se.hybrid_search(asked, chunks, sites, profiles=PROFILES, home=HOME)
+
+
+def hits_of(spark, folder):
+    return searcher(spark, folder)(questions(spark, folder))
 
 
 def in_context(spark, folder):
@@ -543,10 +547,11 @@ cited AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY support DESC, ra
 
 
 def _cited(spark, folder):
-    answered = ans.extract_answers(in_context(spark, folder)).select(F.col("query_id").alias("answer_id"), "answer")
-    return ans.support_citations(
-        answered.join(hits_of(spark, folder).withColumnRenamed("query_id", "answer_id"), "answer_id"), 3
+    hits = materialized(hits_of(spark, folder), "hits")
+    answered = ans.extract_answers(ans.with_context(decided_questions(spark, folder), hits)).select(
+        F.col("query_id").alias("answer_id"), "answer"
     )
+    return ans.support_citations(answered.join(hits.withColumnRenamed("query_id", "answer_id"), "answer_id"), 3)
 
 
 @query(
@@ -616,7 +621,7 @@ _first_pass = search_sql(
 def q7(spark, folder):
     """Low-confidence questions are searched once more with a wider query; the second hits replace the first."""
     hits = dialogue_flow.two_pass(
-        decided_questions(spark, folder), lambda asked: hits_of(spark, folder, asked), as_of(), THRESHOLD
+        decided_questions(spark, folder), searcher(spark, folder), as_of(), THRESHOLD
     )
     return hits.select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
 
@@ -625,4 +630,4 @@ def q7(spark, folder):
 def q17(spark, folder):
     """Every user turn through intent, rewriting, search, gate, retry, answer, grounding and citations."""
     turns = threads(spark, folder)
-    return dialogue_flow.dialogue_batch(turns, lambda asked: hits_of(spark, folder, asked), as_of(), THRESHOLD)
+    return dialogue_flow.dialogue_batch(turns, searcher(spark, folder), as_of(), THRESHOLD)

@@ -19,9 +19,9 @@ from sagewell.plans.page_jobs import (
     LINKS, PAGE_URLS, POLICY, SEED, _rank, category_sql, raw_pages, reason_sql, strip_sql,
 )
 from sagewell.plans.registry import query
-from sagewell.plans.retrieval_jobs import HOME, PROFILES, keyed_chunks, questions, search_sql, site_table
+from sagewell.plans.retrieval_jobs import HOME, PROFILES, keyed_chunks, questions, search_sql, site_table, stored_chunks
 from sagewell.plans.state_jobs import memory_sql, requests
-from sagewell.session import scratch_folder
+from sagewell.session import materialized, scratch_folder
 from sagewell.sources import crawl, sinks
 from sagewell.sources.tables import spread, table
 
@@ -141,9 +141,9 @@ finals AS MATERIALIZED (SELECT conversation_id AS id, max(n) AS turns, max_by(se
 )
 def e3(spark, folder):
     """Conversations as retrieval cases; the query length stands in for a measured latency."""
-    finals = final_calls(spark, folder)
+    finals = materialized(final_calls(spark, folder), "finals")
     asked = finals.select(F.col("id").alias("query_id"), F.col("search_query").alias("text"))
-    found = se.hybrid_search(asked, keyed_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME)
+    found = se.hybrid_search(asked, stored_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME)
     texts = found.groupBy(F.col("query_id").alias("id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda h: h["content"]), "\n").alias("context_text")
     )

@@ -13,6 +13,7 @@ from sagewell.operators.scan import scan_topk
 from sagewell.plans import twins as t
 from sagewell.plans.chunk_jobs import document_chunks
 from sagewell.plans.registry import query
+from sagewell.session import materialized
 from sagewell.sources.tables import spread, table
 
 PROFILES = (
@@ -32,6 +33,13 @@ def keyed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return document_chunks(spark, folder).withColumn("chunk_id", F.col("content_hash"))
 
 
+def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk table with its vectors, written once and then scanned by every pass of a search."""
+    columns = ["chunk_id", "site_id", "title", "section", "category", "content", "source_url", "language",
+               "crawled_at", "valid_until", "search_text"]
+    return materialized(vec.with_vectors(keyed_chunks(spark, folder).select(*columns), "content"), "chunks")
+
+
 def site_table(spark: SparkSession, folder: str) -> DataFrame:
     """Site dimension: every nation stands for the site of one source."""
     alias = F.element_at(F.array(*map(F.lit, ALIASES)), F.col("n_regionkey") + 1)
@@ -321,7 +329,7 @@ def l2(spark, folder):
 
 def candidate_pairs(spark, folder):
     """The 30 best chunks per query and channel with their text, before any boost."""
-    chunks = keyed_chunks(spark, folder)
+    chunks = stored_chunks(spark, folder)
     found = scan_topk(ops.chunk_vectors(chunks), _prepared(spark, folder), 30, lexical="overlap")
     table_ = ops.with_site_aliases(chunks, site_table(spark, folder))
     asked = ops.prepare_queries(questions(spark, folder)).select("query_id", "lower", "long_tokens", "wanted")
@@ -397,7 +405,7 @@ def o6(spark, folder):
 
 def _hits(spark, folder, **options):
     return ops.hybrid_search(
-        questions(spark, folder), keyed_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME, **options
+        questions(spark, folder), stored_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME, **options
     )
 
 
@@ -430,7 +438,7 @@ def f6_site(spark, folder):
     search_sql("SELECT qid AS query_id, cid AS chunk_id, rank, fused_rank, category FROM hits"),
 )
 def f5(spark, folder):
-    ranked = ops.channel_ranks(confident_pairs(spark, folder))
+    ranked = materialized(ops.channel_ranks(confident_pairs(spark, folder)).drop("content", "search_text"), "ranked")
     category = ranked.select("query_id", "chunk_id", "category", "wanted").dropDuplicates(["query_id", "chunk_id"])
     hits = ops.diversify(ops.rrf(ranked, 30).join(category, ["query_id", "chunk_id"]), 5)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long"), F.col("fused_rank").cast("long"), "category")
@@ -472,7 +480,7 @@ def q15(spark, folder):
 
     def search(distinct):
         return ops.hybrid_search(
-            distinct, keyed_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME
+            distinct, stored_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME
         )
 
     return ops.deduplicated_search(twice, search).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")

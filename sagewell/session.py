@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,8 +20,26 @@ RUNTIME_CONF = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="sagewell-code-"), "sagewell_code.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, str(Path(root.name) / source.relative_to(root)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the jobs rely on; cluster sizing is left to the caller."""
+    """Ship the code and apply the runtime settings the jobs rely on; sizing is left to the caller."""
+    ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -68,3 +89,10 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix=f"sagewell-{purpose}-") + "/out"
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later passes scan columns, not lineage."""
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

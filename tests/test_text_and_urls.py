@@ -1,0 +1,83 @@
+import re
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from sagewell.functions import text, urls
+from sagewell.operators.chunks import chunk
+
+
+def one(spark, value, expr):
+    return spark.createDataFrame([(value,)], "v string").select(expr(F.col("v")).alias("r")).first()["r"]
+
+
+def test_normalized_matches_unicode_decomposition(spark):
+    for raw in ["Crème Brûlée, 12€!", "Đường Phố", "plain ascii", "ÀÉÎÕÜ ñ ß œ", ""]:
+        marks = "".join(c for c in unicodedata.normalize("NFD", raw.lower()) if unicodedata.category(c) != "Mn")
+        expected = " ".join(re.findall("[a-z0-9]+", marks.replace("đ", "d")))
+        assert one(spark, raw, text.normalized) == expected
+
+
+def test_collapse_handles_unicode_blanks(spark):
+    raw = "  a  b\r\n\tc 　 "
+    assert one(spark, raw, text.collapse) == " ".join(raw.split())
+
+
+def test_compact_keeps_short_and_cuts_long(spark):
+    assert one(spark, "a  b", lambda c: text.compact(c, 10)) == "a b"
+    assert one(spark, "abcd efghij", lambda c: text.compact(c, 6)) == "abcd..."
+
+
+def test_first_rule_keeps_order(spark):
+    rules = [("first", ["x"]), ("second", ["y"])]
+    assert one(spark, "y then x", lambda c: text.first_rule(c, rules, "none")) == "first"
+    assert one(spark, "z", lambda c: text.first_rule(c, rules, "none")) == "none"
+
+
+def test_canonical_urls(spark):
+    cases = {
+        " HTTPS://Example.ORG//a//b/;p=1?q=2#f ": "https://example.org/a/b",
+        "http://example.org": "http://example.org/",
+        "http://example.org/a/": "http://example.org/a",
+        "/relative": None,
+        "example.org/a": None,
+    }
+    for raw, expected in cases.items():
+        assert one(spark, raw, urls.canonical_url) == expected
+    assert one(spark, "https://M.Example.org/x", urls.site_key) == "m-example-org"
+    assert one(spark, "https://M.Example.org/x", urls.root_url) == "https://m.example.org"
+
+
+def brute_prose(raw, size=1100, overlap=160):
+    body = re.sub(r"\s+", " ", raw).strip()
+    if len(body) <= size:
+        return [body]
+    out, at = [], 0
+    while True:
+        end = min(len(body), at + size)
+        stop = body[at:end].rfind(". ")
+        if stop > size // 2:
+            end = at + stop + 1
+        out.append(body[at:end].strip())
+        if end == len(body):
+            break
+        at = max(0, end - overlap)
+    return list(dict.fromkeys(p for p in out if len(p) > 80))
+
+
+def test_chunker_equals_brute_force_and_covers_the_text(spark):
+    texts = ["", "short", "x" * 5000, ("One sentence here. " * 400), ("élan vital. " + "mot " * 90) * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in chunk(rows, "t").orderBy("id", "chunk_no").collect():
+        got.setdefault(r["id"], []).append(r["content"])
+    for i, raw in enumerate(texts):
+        assert got[i] == brute_prose(raw)
+
+
+def test_markdown_chunks_start_at_boundaries(spark):
+    body = "\n".join(f"## Part {i}\n" + "word " * 120 for i in range(8))
+    rows = spark.createDataFrame([(1, body), (2, "")], "id int, t string")
+    pieces = [r["content"] for r in chunk(rows, "t", style="markdown").orderBy("chunk_no").collect()]
+    assert all(len(p) <= 1200 for p in pieces) and pieces[0].startswith("## Part 0")
+    assert all(f"## Part {i}" in "\n".join(pieces) for i in range(8))
