@@ -23,7 +23,7 @@ def expired(as_of: Column) -> Column:
     return F.col("valid_until").isNotNull() & (F.col("valid_until") < as_of)
 
 
-def doc_set_hash(chunks: DataFrame, keys: tuple = (), prefix_chars: int = 3) -> DataFrame:
+def doc_set_hash(chunks: DataFrame, keys: tuple = (), prefix_chars: int = 4) -> DataFrame:
     """Fingerprint of the set of content hashes, whole or per key.
 
     Two levels: hashes are sorted and joined inside buckets of equal leading characters, and the

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagewell.functions import urls as u
@@ -372,6 +373,22 @@ def p11(spark, folder):
     return markdown_pages(spark, folder).select("page_id", F.array_join(lines, "\n").alias("lines"))
 
 
+@query(
+    "w11_running_frames",
+    f"""WITH {LINES} SELECT m.page_id, count(h.line) AS lines_kept FROM md m LEFT JOIN head_lines h ON h.page_id = m.page_id GROUP BY m.page_id""",
+)
+def w11(spark, folder):
+    """The footer cut as a running frame over exploded lines, next to the in-row form of p11."""
+    lines = markdown_pages(spark, folder).select(
+        "page_id", F.posexplode_outer(ops.cleaned_lines(F.col("markdown"))).alias("pos", "line")
+    )
+    frame = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    passed = F.max(F.coalesce(ops.is_footer(F.col("line")), F.lit(False))).over(frame)
+    return lines.withColumn("passed", passed).groupBy("page_id").agg(
+        F.count_if(~F.col("passed") & F.col("line").isNotNull()).alias("lines_kept")
+    )
+
+
 @query("p12_primary_content", f"WITH {LINES} SELECT page_id, body FROM md_text")
 def p12(spark, folder):
     return markdown_pages(spark, folder).select("page_id", ops.markdown_text(F.col("markdown")).alias("body"))

@@ -34,6 +34,9 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             bundle.write(source, str(Path(root.name) / source.relative_to(root)))
     context.addPyFile(archive)
+    # Stateful streams start one more worker next to the driver, which reads only the path.
+    paths = [str(root.parent), context.environment.get("PYTHONPATH", "")]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _shipped.add(context.applicationId)
 
 
@@ -42,6 +45,10 @@ def configure(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # Spark's default of 200 shuffle partitions suits no single machine; a cluster's value is kept.
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 

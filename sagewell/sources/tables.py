@@ -12,13 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when a table has fewer files than there are cores.
+    """Give every core a share when a table has fewer splits than there are cores.
 
-    Text jobs are heavy per row, so a table kept in one small file would run in one task. A table
-    of many files is left alone: its own splits already occupy the cluster.
+    Text jobs are heavy per row, so a table kept in one small file would run in one task. A large
+    table is left alone: its own splits already occupy the cluster, and no shuffle is added.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
