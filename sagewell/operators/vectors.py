@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,11 @@ DIMENSIONS = 1536
 VECTOR = "dims array<int>, weights array<double>, norm double"
 
 
-def _token_slots(token: str, dims: int):
-    """Eight (slot, sign) pairs of a token from its SHA-256 digest, four bytes each."""
-    halves = np.frombuffer(hashlib.sha256(token.encode("utf-8")).digest(), dtype=">u2").astype(np.int64)
-    return halves[0::2] % dims, 1.0 - 2.0 * ((halves[1::2] >> 8) & 1)
+def token_slots(tokens, dims: int):
+    """Eight (slot, sign) pairs per token from its SHA-256 digest, four bytes each, as two arrays."""
+    digests = b"".join(hashlib.sha256(token.encode("utf-8")).digest() for token in tokens)
+    halves = np.frombuffer(digests, dtype=">u2").astype(np.int64).reshape(-1, 16)
+    return halves[:, 0::2] % dims, 1.0 - 2.0 * ((halves[:, 1::2] >> 8) & 1)
 
 
 def hashed_vector(dims: int = DIMENSIONS):
@@ -31,17 +33,15 @@ def hashed_vector(dims: int = DIMENSIONS):
 
     @F.pandas_udf(VECTOR)
     def embed(texts: pd.Series) -> pd.DataFrame:
-        seen: dict = {}
+        lowered = [f" {(text or '').lower()} " for text in texts]
+        rows = [text.split() or [text] for text in lowered]
+        # Every distinct token of the batch is hashed once.
+        place = {token: at for at, token in enumerate(dict.fromkeys(chain.from_iterable(rows)))}
+        slots, signs = token_slots(place, dims)
         out = []
-        for text in texts:
-            lowered = f" {(text or '').lower()} "
-            tokens = lowered.split() or [lowered]
-            for token in tokens:
-                if token not in seen:
-                    seen[token] = _token_slots(token, dims)
-            slots = np.concatenate([seen[t][0] for t in tokens])
-            signs = np.concatenate([seen[t][1] for t in tokens])
-            counts = np.bincount(slots, weights=signs, minlength=dims)
+        for tokens in rows:
+            at = [place[token] for token in tokens]
+            counts = np.bincount(slots[at].ravel(), weights=signs[at].ravel(), minlength=dims)
             used = np.nonzero(counts)[0]
             weights = counts[used]
             out.append((used.astype(np.int32), weights, float(np.sqrt((weights**2).sum())) or 1.0))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sagewell.operators import rollups, search
 from sagewell.operators.scan import cover_density
-from sagewell.operators.vectors import _token_slots, with_vectors
+from sagewell.operators.vectors import with_vectors
 
 
 def test_fusion_only_breaks_ties(spark):
@@ -60,7 +61,9 @@ def test_hashed_vectors_are_unit_length_and_signed(spark):
     rows = {r["id"]: r for r in with_vectors(df, "t").collect()}
     expected = {}
     for token in ("alpha", "beta", "alpha"):
-        for slot, sign in zip(*_token_slots(token, 1536)):
+        digest = hashlib.sha256(token.encode()).digest()
+        for at in range(0, 32, 4):
+            slot, sign = int.from_bytes(digest[at : at + 2], "big") % 1536, 1 - 2 * (digest[at + 2] % 2)
             expected[slot] = expected.get(slot, 0) + sign
     assert dict(zip(rows[1]["dims"], rows[1]["weights"])) == {int(k): v for k, v in expected.items() if v}
     assert rows[2]["norm"] > 0
