@@ -307,17 +307,25 @@ open_urls AS (SELECT DISTINCT url FROM (SELECT l.url FROM link_rows l JOIN entry
     AND {reason_sql('url', POLICY['allowed_domains'], POLICY['exclude_patterns'])} IS NULL),
 ordered AS (SELECT url, category, CASE category {_rank} ELSE 99 END AS r, url IN (SELECT source FROM page_urls WHERE source IS NOT NULL) AS scraped FROM (SELECT url, {category_sql('url')} AS category FROM open_urls)),
 counted AS (SELECT *, sum(CAST(scraped AS INTEGER)) OVER (ORDER BY r, url) AS paid FROM ordered),
-log AS (SELECT * FROM counted WHERE paid < 60 OR (paid = 60 AND scraped))"""
-
-
-@query("g2_frontier", f"WITH {_WAVE} SELECT url, category, CAST(0 AS BIGINT) AS wave, scraped FROM log")
+first_wave AS (SELECT url, category, scraped FROM counted WHERE paid < 60 OR (paid = 60 AND scraped)),
+fresh AS (SELECT DISTINCT l.url FROM link_rows l JOIN page_urls p ON p.page_id = l.page_id JOIN first_wave g ON g.url = p.source AND g.scraped
+  WHERE l.pos > 0 AND l.url NOT IN (SELECT url FROM open_urls)
+    AND l.url NOT IN (SELECT source FROM page_urls p2 JOIN entry e ON e.page_id = p2.page_id WHERE source IS NOT NULL)
+    AND {reason_sql('l.url', POLICY['allowed_domains'], POLICY['exclude_patterns'])} IS NULL
+    AND (SELECT count(*) FROM first_wave WHERE scraped) < 60),
+log AS (SELECT CAST(0 AS BIGINT) AS wave, * FROM first_wave
+  -- every stored page is listed, so links found later lead nowhere: all of them fail in a second wave
+  UNION ALL SELECT 1, url, {category_sql('url')}, FALSE FROM fresh)"""
+
+
+@query("g2_frontier", f"WITH {_WAVE} SELECT url, category, wave, scraped FROM log")
 def g2(spark, folder):
     return frontier_log(spark, folder).select("url", "category", F.col("wave").cast("long"), "scraped")
 
 
 @query(
     "g3_visit_accounting",
-    f"WITH {_WAVE} SELECT CAST(0 AS BIGINT) AS wave, category, count(*) FILTER (scraped) AS scraped, count(*) FILTER (NOT scraped) AS failed FROM log GROUP BY category",
+    f"WITH {_WAVE} SELECT wave, category, count(*) FILTER (scraped) AS scraped, count(*) FILTER (NOT scraped) AS failed FROM log GROUP BY wave, category",
 )
 def g3(spark, folder):
     return frontier.visit_summary(frontier_log(spark, folder)).withColumn("wave", F.col("wave").cast("long"))
