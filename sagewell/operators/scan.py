@@ -89,11 +89,12 @@ def cover_density(text: str, terms: set[str]) -> float:
 class _Block:
     """A group of queries in matrix form. ``lexical`` is None, ``overlap`` or ``all_terms``."""
 
-    def __init__(self, rows, lexical: str | None, boosts: bool):
+    def __init__(self, rows, lexical: str | None, boosts: bool, vectors: bool = True):
         self.ids = [r["query_id"] for r in rows]
-        self.lexical, self.boosts, self.find = lexical, boosts, None
-        self.vectors = _matrix(rows, "dims", "weights")
-        self.norms = np.array([r["norm"] or 1.0 for r in rows])
+        self.lexical, self.boosts, self.find, self.vectors = lexical, boosts, None, None
+        if vectors:
+            self.vectors = _matrix(rows, "dims", "weights")
+            self.norms = np.array([r["norm"] or 1.0 for r in rows])
         if lexical:
             self.terms = _matrix(rows, "terms", None)
             self.needed = self.terms[1].sum(axis=0)
@@ -105,9 +106,10 @@ class _Block:
 
     def scores(self, chunks: pd.DataFrame):
         """(confidence, lexical score) matrices, rounded so that ties are the same everywhere."""
-        base = _product(chunks["dims"], chunks["weights"], *self.vectors)
-        base = base / np.outer(chunks["norm"].to_numpy(), self.norms)
-        base = np.round(base, 6)
+        base = np.zeros((len(chunks), len(self.ids)))
+        if self.vectors:
+            base = _product(chunks["dims"], chunks["weights"], *self.vectors)
+            base = np.round(base / np.outer(chunks["norm"].to_numpy(), self.norms), 6)
         confidence = base
         if self.boosts:
             extra = _product(chunks["features"], chunks["feature_weights"], *self.features)
@@ -133,7 +135,8 @@ class _Block:
 
     def channels(self, chunks):
         base, confidence, overlap = self.scores(chunks)
-        yield "vector", base, confidence, overlap, np.ones_like(base, dtype=bool)
+        if self.vectors:
+            yield "vector", base, confidence, overlap, np.ones_like(base, dtype=bool)
         if overlap is not None:
             bonus = np.minimum(np.maximum(overlap, 0.0) * LEXICAL_STEP, LEXICAL_CAP)
             yield "lexical", base, np.round(confidence + bonus, 6), overlap, overlap > 0
@@ -219,17 +222,17 @@ def _query_groups(queries: DataFrame):
         yield part.collect()
 
 
-def _blocks(rows, lexical, boosts):
-    return [_Block(rows[at : at + BLOCK], lexical, boosts) for at in range(0, len(rows), BLOCK)]
+def _blocks(rows, lexical, boosts, vectors=True):
+    return [_Block(rows[at : at + BLOCK], lexical, boosts, vectors) for at in range(0, len(rows), BLOCK)]
 
 
-CHUNK_COLUMNS = ["chunk_id", "dims", "weights", "norm"]
+VECTOR_COLUMNS = ["dims", "weights", "norm"]
 LEXICAL_COLUMNS = ["terms", "search_text"]
 BOOST_COLUMNS = ["features", "feature_weights", "haystack"]
 
 
-def _columns(lexical, boosts):
-    return CHUNK_COLUMNS + (LEXICAL_COLUMNS if lexical else []) + (BOOST_COLUMNS if boosts else [])
+def _columns(lexical, boosts, vectors=True):
+    return ["chunk_id"] + (VECTOR_COLUMNS if vectors else []) + (LEXICAL_COLUMNS if lexical else []) + (BOOST_COLUMNS if boosts else [])
 
 
 def scan_topk(
@@ -239,6 +242,7 @@ def scan_topk(
     *,
     lexical: str | None = None,
     boosts: bool = False,
+    vectors: bool = True,
     rank_by: dict[str, str] | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks per query and channel, ties by chunk id.
@@ -247,11 +251,12 @@ def scan_topk(
     a second channel, scored by shared words (``overlap``) or by cover density among the chunks that
     hold every query word (``all_terms``); it needs ``terms`` and
     ``search_text`` / ``normalized``. ``boosts`` needs ``features`` (see ``search.chunk_features``).
+    ``vectors=False`` leaves the vector channel and its columns out.
     """
     rank_by = rank_by or {"vector": "base", "lexical": "lexical"}
-    narrow = chunks.select(*_columns(lexical, boosts))
+    narrow = chunks.select(*_columns(lexical, boosts, vectors))
     parts = [
-        narrow.mapInPandas(_topk_task(_blocks(rows, lexical, boosts), k, rank_by), SCORED)
+        narrow.mapInPandas(_topk_task(_blocks(rows, lexical, boosts, vectors), k, rank_by), SCORED)
         for rows in _query_groups(queries)
     ]
     found = reduce(DataFrame.unionByName, parts)

@@ -245,10 +245,15 @@ def scoped(chunks: DataFrame, site_id: str | None) -> DataFrame:
     return chunks.filter(F.col("site_id") == site_id.strip())
 
 
+def chunk_terms(chunks: DataFrame, least_chars: int = 2) -> DataFrame:
+    """Distinct search words of each chunk, all a lexical scan needs besides the search text."""
+    return chunks.withColumn("terms", search_tokens(F.col("search_text"), least_chars))
+
+
 def chunk_vectors(chunks: DataFrame, least_chars: int = 2) -> DataFrame:
     """Chunk table with what the scan needs; stored vectors (``dims, weights, norm``) are used as they are."""
     ready = chunks if "dims" in chunks.columns else with_vectors(chunks, "content")
-    return ready.withColumn("terms", search_tokens(F.col("search_text"), least_chars))
+    return chunk_terms(ready, least_chars)
 
 
 QUERY_COLUMNS = ["query_id", "dims", "weights", "norm", "terms", "normalized", "lower", "long_tokens", "wanted"]

@@ -293,8 +293,9 @@ _side = t.with_chunks("{tail}", f", {QUERIES_SQL}, {CHUNK_SIDE.split('cosines AS
         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, cid) AS rank FROM words WHERE lexical > 0) WHERE rank <= 20"""),
 )
 def l1(spark, folder):
-    found = scan_topk(ops.chunk_vectors(keyed_chunks(spark, folder)), _prepared(spark, folder), 20, lexical="overlap")
-    return found.filter("channel = 'lexical'").select("query_id", "chunk_id", "lexical", F.col("rank").cast("long"))
+    asked = ops.prepare_queries(questions(spark, folder))
+    found = scan_topk(ops.chunk_terms(keyed_chunks(spark, folder)), asked, 20, lexical="overlap", vectors=False)
+    return found.select("query_id", "chunk_id", "lexical", F.col("rank").cast("long"))
 
 
 @query(
@@ -317,9 +318,10 @@ dens AS (SELECT c.qid, c.cid, round(sum(0.1::DOUBLE / (1 + (c.e - c.s) - (f.n -
     ),
 )
 def l2(spark, folder):
-    chunks = ops.chunk_vectors(keyed_chunks(spark, folder), least_chars=1)
-    found = scan_topk(chunks, _prepared(spark, folder, 1), 20, lexical="all_terms")
-    return found.filter("channel = 'lexical'").select(
+    chunks = ops.chunk_terms(keyed_chunks(spark, folder), least_chars=1)
+    asked = ops.prepare_queries(questions(spark, folder), least_chars=1)
+    found = scan_topk(chunks, asked, 20, lexical="all_terms", vectors=False)
+    return found.select(
         "query_id", "chunk_id", F.col("lexical").alias("density"), F.col("rank").cast("long")
     )
 
