@@ -11,8 +11,8 @@ from sagewell.llm.shared import stored
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``a, b`` edges: the root is the smallest node it is connected to.
 
-    Every round a node's root takes the smallest root among the neighbours of its members, then roots are
-    followed to their own roots. Rounds grow with the logarithm of the component's width; edges stay distributed.
+    Every round a root takes the smallest root among the neighbours of its members, then every node follows its
+    root to that node's root, so rounds grow with the logarithm of the component's width. Edges stay distributed.
     """
     both = stored(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -21,13 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("root").alias("near"))
-        hooks = state.join(near, "node").groupBy("root").agg(F.min("near").alias("near")).select(
-            F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        hooks = stored(hooks, "hooks")
-        if hooks.where("old <> new").isEmpty():
+        hooks = stored(state.join(near, "node").groupBy("root").agg(F.min("near").alias("near")).select(
+            "root", F.least("root", "near").alias("new")), "hooks")
+        if hooks.where("root <> new").isEmpty():
             return state
-        # A hook leads to a smaller root, so following hooks of hooks ends; two steps a round suffice.
-        twice = hooks.join(hooks.select(F.col("old").alias("new"), F.col("new").alias("newer")), "new", "left")
-        step = twice.select(F.col("old").alias("root"), F.coalesce("newer", "new").alias("new"))
-        state = stored(
-            state.join(step, "root").select("node", F.col("new").alias("root")), "roots")
+        hooked = stored(state.join(hooks, "root").select("node", F.col("new").alias("root")), "roots")
+        beyond = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        state = stored(hooked.join(beyond, "root").select("node", F.col("next").alias("root")), "roots")

@@ -32,7 +32,7 @@ RECALL = 0.9999
 TILE_BYTES = 8 << 20
 MIX, STEP, FINAL = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 NODES = pa.schema([
-    ("doc_id", pa.int64()), ("node", pa.string()), ("grams", pa.int64()), ("bytes", pa.int64()),
+    ("doc_id", pa.int64()), ("node", pa.binary()), ("grams", pa.int64()), ("bytes", pa.int64()),
     ("keys", pa.list_(pa.int64())),
 ])
 
@@ -108,7 +108,7 @@ def describe(docs: DataFrame, words: int, trees: int, depth: int, id_col: str, t
                 grams = shingle(text)
                 node, keys = None, None
                 if len(grams):
-                    node = xxhash.xxh3_128_hexdigest(grams.tobytes())
+                    node = xxhash.xxh3_128_digest(grams.tobytes())
                     keys = seen.get(node)
                     if keys is None:
                         keys = trie_nodes(signature(grams, trees * depth), trees, depth, depth)
@@ -122,7 +122,7 @@ def describe(docs: DataFrame, words: int, trees: int, depth: int, id_col: str, t
             yield batch(NODES, out)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, node string, grams long, bytes long, keys array<long>")
+        run, "doc_id long, node binary, grams long, bytes long, keys array<long>")
 
 
 class Forest:
@@ -241,9 +241,9 @@ def similar_documents(
         .otherwise(F.xxhash64("cluster", "lo", "hi")))
     texts = node_texts(docs, rows, members, id_col, text_col, words)
     edges = stored(
-        tiles.join(texts, "node").select("tile", F.concat_ws("-", "cluster", "lo", "hi").alias("cluster"),
+        tiles.join(texts, "node").select("tile", F.concat_ws("-", F.hex("cluster"), "lo", "hi").alias("cluster"),
                                          "node", "docs", "side", "text")
-        .groupBy("tile").applyInPandas(verifier(words, similarity), "a string, b string, links long"),
+        .groupBy("tile").applyInPandas(verifier(words, similarity), "a binary, b binary, links long"),
         "ngram-links")
     degrees = edges.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     linked = components(edges.where("b is not null"))
@@ -269,9 +269,9 @@ def with_node(rows: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
         for part in batches:
             found = [shingle(text) for text in texts_of(part.column(at))]
             yield part.append_column("__node", pa.array(
-                [xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) else None for g in found], pa.string()))
+                [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in found], pa.binary()))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__node", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__node", T.BinaryType())]))
 
 
 def repeated_ids(rows: DataFrame) -> DataFrame:
@@ -287,8 +287,9 @@ def node_texts(
     wanted = members.select("node", F.col("least").alias("__id"))
     plain = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
     twice = repeated_ids(rows)
+    # The ids grow with the documents: the join is by key at every size.
     if twice.isEmpty():
-        return plain.join(wanted, "__id").select("node", "text")
+        return plain.join(wanted.hint("merge"), "__id").select("node", "text")
     same = F.col("__id").eqNullSafe(F.col("__twice"))
     # Where an id does not tell rows apart, the class is worked out again from the text.
     again = with_node(plain.join(twice, same, "left_semi"), "text", words).select(F.col("__node").alias("node"), "text")
