@@ -30,7 +30,6 @@ def expand_frontier(
     *,
     budget: int,
     strict: bool = False,
-    max_waves: int = 16,
     **policy,
 ) -> DataFrame:
     """Visit admitted URLs under a page budget; read pages add their links to the frontier.
@@ -40,20 +39,22 @@ def expand_frontier(
     page counts as failed: it is logged but uses no budget.
 
     A wave takes every open URL the budget allows, in (category rank, URL) order; ``strict`` takes
-    one URL per wave, which equals visiting one page at a time. Each wave is checkpointed, so its
-    lineage ends there and a lost executor costs one wave at most.
+    one URL per wave, which equals visiting one page at a time. Waves go on until the budget is used
+    or no URL is open. Links are read from the pages once, before the first wave; each wave is
+    checkpointed, so its lineage ends there and a lost executor costs one wave at most.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     stored = pages.withColumn("key", canonical_url(F.col("url")))
     known = select_urls(candidates.select("url", "discovered_from"), **policy).filter("skip_reason IS NULL")
     known = known.select("url", "category", "discovered_from").checkpoint()
     seen = visited.select("url")
-    log, left = None, budget
-    for wave in range(budget * 4 if strict else max_waves):
-        if left <= 0:
-            break
+    links_of = link_rows(pages).filter("pos > 0").select(
+        F.col("source").alias("key"), "url", "discovered_from", "page_id", "pos").checkpoint()
+    present_keys = stored.select(F.col("key").alias("url"), F.lit(True).alias("scraped")).distinct().checkpoint()
+    log, left, wave = None, budget, 0
+    while left > 0:
         open_urls = known.join(seen, "url", "left_anti")
-        present = open_urls.join(stored.select(F.col("key").alias("url"), F.lit(True).alias("scraped")).distinct(), "url", "left")
+        present = open_urls.join(present_keys, "url", "left")
         ordered = present.withColumn("sort_rank", category_rank(F.col("category"))).withColumn(
             "scraped", F.coalesce("scraped", F.lit(False))
         )
@@ -79,14 +80,15 @@ def expand_frontier(
         if counts["n"] == 0:
             break
         left -= counts["ok"]
-        log = taken if log is None else log.unionByName(taken)
-        seen = seen.unionByName(taken.select("url"))
-        read = stored.join(taken.filter("scraped").select(F.col("url").alias("key")), "key", "left_semi")
-        links = link_rows(read.drop("key")).filter("pos > 0").groupBy("url").agg(
+        log = taken if log is None else log.unionByName(taken).checkpoint()
+        seen = seen.unionByName(taken.select("url")).checkpoint()
+        read = links_of.join(taken.filter("scraped").select(F.col("url").alias("key")), "key", "left_semi")
+        links = read.groupBy("url").agg(
             F.min_by("discovered_from", F.struct("page_id", "pos")).alias("discovered_from")
         )
         fresh = select_urls(links.join(known, "url", "left_anti"), **policy).filter("skip_reason IS NULL")
         known = known.unionByName(fresh.select("url", "category", "discovered_from")).checkpoint()
+        wave += 1
     return log if log is not None else known.limit(0).select(
         "*", F.lit(0).alias("wave"), F.lit(False).alias("scraped")
     )

@@ -23,13 +23,12 @@ def expired(as_of: Column) -> Column:
     return F.col("valid_until").isNotNull() & (F.col("valid_until") < as_of)
 
 
-def doc_set_hash(chunks: DataFrame, keys: tuple = (), prefix_chars: int = 4) -> DataFrame:
+def doc_set_hash(chunks: DataFrame, keys: tuple = (), prefix_chars: int = 0) -> DataFrame:
     """Fingerprint of the set of content hashes, whole or per key.
 
-    Two levels: hashes are sorted and joined inside buckets of equal leading characters, and the
-    bucket fingerprints are joined in order. A bucket holds 1/16^prefix_chars of a set, so no task
-    ever sorts or joins a whole site; ``prefix_chars=0`` gives the single-level form for sets known
-    to be small.
+    The md5 of all hashes, sorted and joined by commas. A digest over one string is one row's work, so
+    a key's hashes meet in one task. For keys without a bound ``prefix_chars`` gives another value,
+    built in two levels: a digest per bucket of equal leading characters, then one over the buckets.
     """
     bucket = F.substring("content_hash", 1, prefix_chars) if prefix_chars else F.lit("")
     low = chunks.groupBy(*keys, bucket.alias("_bucket")).agg(

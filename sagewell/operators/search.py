@@ -363,7 +363,7 @@ def deduplicated_search(queries: DataFrame, search) -> DataFrame:
     """
     from sagewell.functions.text import collapse
 
-    keyed = queries.withColumn("question_key", F.xxhash64(collapse(F.lower("text"))))
+    keyed = queries.withColumn("question_key", collapse(F.lower("text")))
     distinct = keyed.groupBy("question_key").agg(F.min(F.struct("query_id", "text")).alias("q")).select(
         F.col("q.query_id").alias("query_id"), F.col("q.text").alias("text"), "question_key"
     )

@@ -274,9 +274,8 @@ def t6(spark, folder):
 
 @query(
     "a5_doc_set_hash",
-    t.with_chunks("""SELECT site_id, md5(string_agg(m, ',' ORDER BY b)) AS doc_set_hash, CAST(sum(n) AS BIGINT) AS chunks FROM (
-        SELECT site_id, substring(content_hash, 1, 4) AS b, md5(string_agg(content_hash, ',' ORDER BY content_hash)) AS m, count(*) AS n
-        FROM chunks GROUP BY 1, 2) GROUP BY site_id"""),
+    t.with_chunks("""SELECT site_id, md5(string_agg(content_hash, ',' ORDER BY content_hash)) AS doc_set_hash, count(*) AS chunks
+        FROM chunks GROUP BY site_id"""),
 )
 def a5(spark, folder):
     return rollups.doc_set_hash(document_chunks(spark, folder), ("site_id",))

@@ -86,9 +86,8 @@ raw_pieces AS (
   UNION ALL
   SELECT doc_id, 1, body FROM doc_pages WHERE length(body) <= 1100),
 kept_pieces AS (
-  SELECT r.doc_id, min(r.n) AS n, r.content FROM raw_pieces r JOIN doc_pages p ON p.doc_id = r.doc_id
-  WHERE length(p.body) <= 1100 OR length(r.content) > 80
-  GROUP BY r.doc_id, r.content),
+  SELECT r.doc_id, r.n, r.content FROM raw_pieces r JOIN doc_pages p ON p.doc_id = r.doc_id
+  WHERE length(p.body) <= 1100 OR length(r.content) > 80),
 pieces AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_no, content
   FROM kept_pieces)"""

@@ -17,7 +17,7 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: list[str], or
     part of the batch stays cheap.
     """
     winners = first_per(incoming, keys, order)
-    return winners.join(target.select(*keys).distinct(), keys, "left_anti")
+    return winners.join(target.select(*keys), keys, "left_anti")
 
 
 def append_new(spark, path: str, incoming: DataFrame, keys: list[str], order: list[Column]) -> int:
@@ -38,13 +38,14 @@ def append_new(spark, path: str, incoming: DataFrame, keys: list[str], order: li
 
 
 def upsert_latest(target: DataFrame, incoming: DataFrame, keys: list[str], updated: str, created: str) -> DataFrame:
-    """Last write per key wins; the creation time is the earliest ever seen."""
+    """Last write per key wins, an incoming row over a stored one of the same time; the creation time is the
+    earliest ever seen."""
     rest = [c for c in target.columns if c not in (*keys, updated, created)]
-    both = target.unionByName(incoming)
+    both = target.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     return (
         both.groupBy(*keys)
         .agg(
-            F.max_by(F.struct(*rest), updated).alias("_last"),
+            F.max_by(F.struct(*rest), F.struct(updated, "_new", *rest)).alias("_last"),
             F.max(updated).alias(updated),
             F.min(created).alias(created),
         )

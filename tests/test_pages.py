@@ -12,8 +12,8 @@ def one(spark, value, expr):
 
 def test_markdown_noise_footer_and_heading(spark):
     markdown = "\n".join(
-        ["[Home](x) [home]", "![logo](a.png)", "Menu", "# Book tickets", "# Opening hours of the park", "Open daily.",
-         "[![pic](a.png) caption](http://x)", "- [1. Intro](http://x#intro-part)", "## Related posts", "Other page"]
+        ["[To the text](#skip)", "![logo](a.png)", "Skip to content", "# Book tickets", "# Opening hours of the park", "Open daily.",
+         "[![pic](a.png) caption](http://x)", "- [1. Intro](http://x#intro-part)", "## See also", "Other page"]
     )
     lines = one(spark, markdown, lambda c: pages.drop_noise(pages.before_footer(pages.cleaned_lines(c))))
     assert lines == ["# Book tickets", "# Opening hours of the park", "Open daily.", "pic caption"]
