@@ -27,7 +27,7 @@ from sagewell.llm.shared import batch, partitions_for, stored, texts_of
 
 #: Counts above this are taken as they are; at most this many are discounted.
 DISCOUNTED = 5
-TOKENS_PER_BLOCK = 3_000_000
+TOKENS_PER_BLOCK = 2_000_000
 TOKENS_PER_BUCKET = 2_000_000
 WORDS_PER_BUCKET = 400_000
 #: A context seen more often than this is cut into units; their number only sets how it is spread.
