@@ -5,8 +5,9 @@ task multiplies its chunks with the query matrix batch by batch and keeps a runn
 and channel. Only ``k`` rows per query, channel and task leave the scan; chunks are never shuffled.
 
 Queries travel as matrices inside the task closure. Their number is counted first: up to
-``MAX_QUERIES`` go in one scan, more are split by hash into further scans, so what is sent to the
-tasks is bounded whatever the size of the query table.
+``MAX_QUERIES`` go in one scan, more are split by hash into further scans. A scan is written before the
+queries of the next are fetched, so driver and tasks hold one group whatever the size of the query table.
+Matrices hold at most ``CELLS`` numbers: groups of long queries are cut, and chunk rows are multiplied in slices.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagewell.operators.rank import top_k
+from sagewell.session import materialized
 
 try:
     import ahocorasick
@@ -29,6 +31,7 @@ except ImportError:  # plain substring tests give the same result
 MAX_QUERIES = 2048
 BLOCK = 256  # queries per matrix
 ROWS = 2048  # chunks per matrix
+CELLS = 8_000_000  # numbers in one matrix
 SALTS = 64
 LEXICAL_STEP, LEXICAL_CAP, PHRASE_BONUS, TOKEN_BOOST = 0.08, 0.30, 2.0, 0.03
 
@@ -47,7 +50,13 @@ def _matrix(rows, keys: str, weights: str | None):
 
 
 def _product(keys, weights, index, matrix):
-    """Sparse rows (lists of keys and weights) times the query matrix."""
+    """Sparse rows (lists of keys and weights) times the query matrix, in slices of bounded width times length."""
+    rows = max(1, CELLS // max(1, len(index)))
+    if len(keys) > rows:
+        return np.concatenate([
+            _product(keys[at : at + rows], None if weights is None else weights[at : at + rows], index, matrix)
+            for at in range(0, len(keys), rows)
+        ])
     sizes = np.fromiter((len(k) for k in keys), dtype=np.int64, count=len(keys))
     if len(index) == 0 or sizes.sum() == 0:
         return np.zeros((len(keys), matrix.shape[1]))
@@ -213,17 +222,31 @@ def _count_task(blocks, thresholds):
     return run
 
 
-def _query_groups(queries: DataFrame):
-    """Query rows in bounded groups; the table is counted before anything is fetched."""
+def _blocks(rows, lexical, boosts, vectors=True):
+    """Blocks of at most ``BLOCK`` queries whose matrices stay within ``CELLS``; one query is always a block."""
+    lists = (["dims"] if vectors else []) + (["terms"] if lexical else []) + (["features", "long_tokens"] if boosts else [])
+    blocks, part, keys = [], [], 0
+    for row in rows:
+        more = max(len(row[name] or ()) for name in lists)
+        if part and (len(part) == BLOCK or (len(part) + 1) * (keys + more) > CELLS):
+            blocks.append(_Block(part, lexical, boosts, vectors))
+            part, keys = [], 0
+        part.append(row)
+        keys += more
+    return blocks + ([_Block(part, lexical, boosts, vectors)] if part else [])
+
+
+def _scan(narrow: DataFrame, queries: DataFrame, task, schema: str) -> DataFrame:
+    """``task(rows)`` over the chunks for every query group; of several groups each is written before the next."""
     total = queries.count()
     groups = max(1, math.ceil(total / MAX_QUERIES))
+    if groups == 1:
+        return narrow.mapInPandas(task(queries.collect()), schema)
+    parts = []
     for g in range(groups):
-        part = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        yield part.collect()
-
-
-def _blocks(rows, lexical, boosts, vectors=True):
-    return [_Block(rows[at : at + BLOCK], lexical, boosts, vectors) for at in range(0, len(rows), BLOCK)]
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()
+        parts.append(materialized(narrow.mapInPandas(task(rows), schema), "scan-group"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 VECTOR_COLUMNS = ["dims", "weights", "norm"]
@@ -255,11 +278,8 @@ def scan_topk(
     """
     rank_by = rank_by or {"vector": "base", "lexical": "lexical"}
     narrow = chunks.select(*_columns(lexical, boosts, vectors))
-    parts = [
-        narrow.mapInPandas(_topk_task(_blocks(rows, lexical, boosts, vectors), k, rank_by), SCORED)
-        for rows in _query_groups(queries)
-    ]
-    found = reduce(DataFrame.unionByName, parts)
+    found = _scan(
+        narrow, queries, lambda rows: _topk_task(_blocks(rows, lexical, boosts, vectors), k, rank_by), SCORED)
     value = F.when(F.col("channel") == "lexical", F.col(rank_by["lexical"])).otherwise(F.col(rank_by["vector"]))
     order = [F.desc("_value"), F.asc("chunk_id")]
     salted = found.withColumn("_value", value).withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
@@ -274,13 +294,13 @@ def scan_ranks(chunks: DataFrame, queries: DataFrame, candidates: DataFrame, *,
     """
     boosts = True
     narrow = chunks.select(*_columns(lexical, boosts))
-    parts = []
-    for rows in _query_groups(queries):
-        wanted = [r["query_id"] for r in rows]
+
+    def task(rows):
         # At most a few dozen candidates per query of a bounded group.
         limits: dict = {}
-        for r in candidates.filter(F.col("query_id").isin(wanted)).collect():
+        for r in candidates.filter(F.col("query_id").isin([r["query_id"] for r in rows])).collect():
             limits.setdefault((r["query_id"], r["channel"]), []).append((r["chunk_id"], r["confidence"]))
-        parts.append(narrow.mapInPandas(_count_task(_blocks(rows, lexical, boosts), limits), COUNTED))
-    counted = reduce(DataFrame.unionByName, parts)
+        return _count_task(_blocks(rows, lexical, boosts), limits)
+
+    counted = _scan(narrow, queries, task, COUNTED)
     return counted.groupBy("query_id", "channel", "chunk_id").agg((F.sum("ahead") + 1).alias("rank"))

@@ -42,6 +42,10 @@ class HomeLanguage:
     words: tuple = ("pour", "avec")
 
 
+#: Candidates (query, chunk id, a few numbers: some 150 bytes each) that may travel to the chunks.
+CARRIED_ROWS = 200_000
+
+
 def candidate_limit(limit: int) -> int:
     return max(6 * limit, 20)
 
@@ -263,6 +267,18 @@ HIT_COLUMNS = [
 ]
 
 
+def with_details(candidates: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """``candidates`` with columns of their chunks.
+
+    The candidates are written and counted first. Up to ``CARRIED_ROWS`` they are sent to the chunks, so the
+    text of the other chunks stays where it is; beyond, both sides meet by chunk id.
+    """
+    ensure_checkpoint_dir(chunks.sparkSession)
+    candidates = candidates.checkpoint()
+    carried = F.broadcast(candidates) if candidates.count() <= CARRIED_ROWS else candidates
+    return chunks.select(*columns).join(carried, "chunk_id")
+
+
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -280,12 +296,12 @@ def hybrid_search(
 
     ``per_channel`` cuts each channel by its raw score before the boosts; ``all`` ranks every chunk
     by its boosted confidence. ``lexical`` scores words by ``overlap`` or, among chunks that hold all
-    query words, by cover density (``all_terms``). Text columns are joined back for winners only.
+    query words, by cover density (``all_terms``). Text columns are joined back for candidates only.
     """
     cut = candidate_limit(limit)
     least = 1 if lexical == "all_terms" else 2
     prepared = with_vectors(prepare_queries(queries, rules, least_chars=least), "raw").select(*QUERY_COLUMNS)
-    table = with_site_aliases(scoped(chunks, site_id), sites)
+    table = scoped(chunks, site_id)
     asked = prepared.select("query_id", "lower", "long_tokens", "wanted")
     details = ["chunk_id", "site_id", "title", "section", "category", "content", "source_url", "language",
                "crawled_at", "valid_until"]
@@ -297,13 +313,13 @@ def hybrid_search(
             F.bool_or(F.col("channel") == "vector").alias("in_vector"),
             F.bool_or(F.col("channel") == "lexical").alias("in_lexical"),
         )
-        described = pairs.join(table.select(*details, "site_aliases"), "chunk_id").join(asked, "query_id")
+        described = with_site_aliases(with_details(pairs, table, details), sites).join(asked, "query_id")
         hits = fuse_pairs(adjusted(described, profiles, rules, home), cut)
     else:
-        ready = chunk_features(chunk_vectors(table), profiles, rules, home)
+        ready = chunk_features(chunk_vectors(with_site_aliases(table, sites)), profiles, rules, home)
         featured = query_features(prepared, profiles, home)
         fused = rrf(full_ranks(ready, featured, cut), cut)
-        hits = fused.join(table.select(*details), "chunk_id").join(asked.select("query_id", "wanted"), "query_id")
+        hits = with_details(fused, table, details).join(asked.select("query_id", "wanted"), "query_id")
     return diversify(hits, limit).select(*HIT_COLUMNS)
 
 
