@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -65,6 +66,41 @@ def search_tokens(normalized_text: Column, least_chars: int = 2) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_text, " "), lambda w: F.length(w) >= least_chars))
 
 
+@lru_cache(maxsize=1)
+def _named_characters() -> dict[str, str]:
+    """The character of every named entity of HTML 4, and of ``apos``."""
+    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references become characters, each once; unknown ones stay as they are."""
+
+    def character(reference: Column) -> Column:
+        names = F.create_map(*[F.lit(v) for pair in sorted(_named_characters().items()) for v in pair])
+        number = F.when(
+            reference.rlike("^#[0-9]"), F.conv(F.substring(reference, 2, 12), 10, 16)
+        ).otherwise(F.conv(F.substring(reference, 3, 12), 16, 16))
+        valid = (F.length(number) <= 6) & ~number.rlike("^(0|D[89A-F]..|(?:1[1-9A-F]|[2-9A-F].).{4})$")
+        sign = F.decode(F.unhex(F.lpad(F.when(valid, number).otherwise("FFFD"), 8, "0")), "UTF-32")
+        return F.when(reference.startswith("#"), sign).otherwise(F.try_element_at(names, reference))
+
+    def part(after: Column) -> Column:
+        reference = F.regexp_extract(after, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        return let(reference, lambda ref: let(
+            F.when(ref != "", character(ref)),
+            lambda sign: F.when(sign.isNull(), F.concat(F.lit("&"), after)).otherwise(
+                F.concat(sign, F.substring(after, F.length(ref) + 2, F.length(after))))))
+
+    def decode(bound: Column) -> Column:
+        parts = F.split(bound, "&")
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), part)
+        return F.when(
+            bound.contains("&"), F.concat(F.substring_index(bound, "&", 1), F.array_join(rest, ""))
+        ).otherwise(bound)
+
+    return let(text, decode)
+
+
 def contains_any(text: Column, keywords) -> Column:
     """True when any keyword is a substring; keywords are a small fixed vocabulary."""
     found = F.lit(False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sagewell.functions.text import let
+
 ABSOLUTE = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\s]+)([^?#]*)"
 
 
@@ -41,14 +43,36 @@ def site_key(url: Column) -> Column:
     return F.when(slug == "", "default").otherwise(slug)
 
 
+def without_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments; one that ends in such a segment ends with a slash."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(segment == ".", kept)
+            .otherwise(F.concat(kept, F.array(segment)))
+        )
+
+    # The empty segment before the first slash is left out, so that ``..`` cannot remove the root.
+    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "^/", ""), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def resolve(link: Column, base: Column) -> Column:
-    """Absolute form of a link found on page ``base`` (absolute, root-relative or page-relative)."""
+    """Absolute form of a link found on page ``base``.
+
+    The link may be absolute, relative to the scheme, root or folder, or only a query or fragment of the page.
+    """
     origin = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.regexp_replace(F.regexp_extract(base, ABSOLUTE, 3), "[^/]*$", "")
+    page = F.regexp_extract(base, ABSOLUTE, 3)
+    folder = F.regexp_replace(page, "[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
+    local = F.regexp_extract(link, "^[^?#]*", 0)
+    rest = F.regexp_extract(link, "[?#].*$", 0)
+    absolute = F.when(local == "", page).when(local.startswith("/"), local).otherwise(F.concat(folder, local))
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(origin, folder, link))
+        .otherwise(F.concat(origin, let(absolute, without_dots), rest))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sagewell.functions import urls as u
 from sagewell.functions import vocab
-from sagewell.functions.text import BLANK, collapse, contains_any, first_rule, let, strip
+from sagewell.functions.text import BLANK, collapse, contains_any, decode_entities, first_rule, let, strip
 from sagewell.operators.rank import first_per
 
 # What the URL filters reject.
@@ -104,14 +104,24 @@ def admit_urls(urls: DataFrame, *, url_rules=None, suffix_rules=(), **policy) ->
     )
 
 
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def hrefs(html: Column) -> Column:
+    """Link targets in page order, quoted either way or not at all, with character references resolved."""
+    values = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(values, lambda v: decode_entities(F.regexp_replace(v, r"^[\"']|[\"']$", "")))
+
+
 def link_rows(pages: DataFrame) -> DataFrame:
     """Every page URL and every link on it, canonical, with the page's position in the crawl.
 
     Relative links are resolved against the page first. ``pos`` 0 is the page itself.
     """
     source = u.canonical_url(F.col("url"))
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r"<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1))
-    links = F.transform(hrefs, lambda href: u.canonical_url(u.resolve(href, F.col("url"))))
+    # One transform for each step: a bound value is written into the plan once.
+    absolute = F.transform(hrefs(F.col("html")), lambda href: u.resolve(href, F.col("url")))
+    links = F.transform(absolute, u.canonical_url)
     return (
         pages.withColumn("source", source)
         .select("page_id", "source", F.posexplode(F.concat(F.array("source"), links)).alias("pos", "url"))
@@ -302,10 +312,7 @@ def without_hidden(html: Column) -> Column:
 
 def visible_text(markup: Column) -> Column:
     """Inline tags become blanks, entities are resolved, blanks collapsed."""
-    text = F.regexp_replace(markup, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return collapse(text)
+    return collapse(decode_entities(F.regexp_replace(markup, r"(?s)<[^>]*>", " ")))
 
 
 def html_title(html: Column, default: str = "Untitled page") -> Column:

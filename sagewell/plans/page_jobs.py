@@ -35,19 +35,33 @@ page_urls AS (
   FROM pages)"""
 _origin = "scheme || '://' || host"
 _folder = "coalesce(nullif(regexp_replace(regexp_extract(url, " + t.ABSOLUTE + ", 3), '[^/]*$', ''), ''), '/')"
+# Segments as one-element lists, so that a reduction can build the list of those that stay.
+_segments = "string_split(regexp_replace(regexp_replace(target, '(/[.][.]?)$', '\\1/'), '^/', ''), '/')"
+_dotless = (
+    "CASE WHEN regexp_matches(target, '/[.][.]?(/|$)') THEN '/' || array_to_string(list_reduce(list_concat([['']],"
+    f" list_transform({_segments}, lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN"
+    " a[1:greatest(len(a) - 1, 1)] WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END)[2:], '/') ELSE target END"
+)
+_decoded = "regexp_replace(v, '^[\"'']|[\"'']$', '', 'g')"
+for _entity, _char in ops.ENTITIES:
+    _decoded = f"replace({_decoded}, {t.text(_entity)}, {t.text(_char)})"
 LINKS = (
     PAGE_URLS
     + rf""",
 hrefs AS (
   SELECT page_id, source, scheme, host, url, unnest(h) AS href, generate_subscripts(h, 1) AS pos
-  FROM (SELECT *, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS h FROM page_urls)),
+  FROM (SELECT *, list_transform(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+      lambda v: {_decoded}) AS h FROM page_urls)),
+parts AS (
+  SELECT *, regexp_extract(href, '^[^?#]*') AS local,
+    CASE WHEN local = '' THEN regexp_extract(url, {t.ABSOLUTE}, 3)
+         WHEN starts_with(local, '/') THEN local ELSE {_folder} || local END AS target FROM hrefs),
 resolved AS (
   SELECT page_id, source, pos,
     CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN href
          WHEN starts_with(href, '//') THEN scheme || ':' || href
-         WHEN starts_with(href, '/') THEN {_origin} || href
-         ELSE {_origin} || {_folder} || href END AS link
-  FROM hrefs),
+         ELSE {_origin} || {_dotless} || substr(href, length(local) + 1) END AS link
+  FROM parts),
 link_rows AS (
   SELECT page_id, 0 AS pos, source AS url, CAST(NULL AS VARCHAR) AS discovered_from FROM page_urls WHERE source IS NOT NULL
   UNION ALL

@@ -111,3 +111,35 @@ def test_url_metadata_prefers_the_url_as_given(spark):
     extra = spark.createDataFrame([("https://site.test/a", {"k": "canonical"})], "url string, extra map<string,string>")
     got = {r["page_id"]: r["extra"] for r in crawl.url_metadata(urls, extra, "page_id", [F.col("url")]).collect()}
     assert got == {1: {"k": "canonical"}, 2: None}
+
+
+def test_links_of_all_forms(spark):
+    from sagewell.operators.pages import link_rows
+
+    html = (
+        """<A class=x HREF='/one'>1</A> <a href=two/three>2</a> <a\n href = "../four?x=1&amp;y=2#z">3</a>"""
+        """<a href="#top">4</a><a href="?p=2">5</a><a data-href="/no">6</a><a href="/x/./y/../caf&eacute;">7</a>"""
+        """<a href="../../../..">8</a><a href="mailto:a@b.c">9</a><a href="//other.org/q/">10</a>"""
+    )
+    pages = spark.createDataFrame([(1, "https://a.org/b/c", html)], "page_id long, url string, html string")
+    got = [r["url"] for r in link_rows(pages).orderBy("pos").collect()]
+    assert got == [
+        "https://a.org/b/c", "https://a.org/one", "https://a.org/b/two/three", "https://a.org/four",
+        "https://a.org/b/c", "https://a.org/b/c", "https://a.org/x/café", "https://a.org/", "https://other.org/q",
+    ]
+
+
+def test_character_references(spark):
+    import html
+
+    from sagewell.functions.text import decode_entities
+
+    cases = [
+        "a &amp; b", "&amp;lt;", "&#8217;&eacute;&Eacute;", "&#x1F600;&#X41;", "&unknown; & &; &amp", "&", "",
+        "&#0;&#xD800;&#x110000;&#99999999999999999999;", "&apos;&nbsp;&hellip;", "no reference", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    got = [r["d"] for r in rows.select("i", decode_entities("v").alias("d")).orderBy("i").collect()]
+    # References without a semicolon stay.
+    expected = [c if c is None or c == "&unknown; & &; &amp" else html.unescape(c) for c in cases]
+    assert got == expected

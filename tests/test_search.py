@@ -113,3 +113,25 @@ def test_fingerprint_levels(spark):
     before = rollups.doc_set_hash(df).first()["doc_set_hash"]
     after = rollups.doc_set_hash(df.filter(F.col("content_hash") != hashes[3])).first()["doc_set_hash"]
     assert before == rollups.doc_set_hash(df.orderBy(F.rand())).first()["doc_set_hash"] != after
+
+
+def test_search_is_the_same_beyond_its_bounds(spark, monkeypatch):
+    from sagewell.operators import scan
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(40)]
+    chunks = spark.createDataFrame(
+        [(f"c{i:03d}", f"s{i % 3}", "t", "s", "overview", text, f"https://s{i % 3}.org/{i}", "en", None, None, text)
+         for i in range(60) for text in [" ".join(rng.choices(words, k=12))]],
+        "chunk_id string, site_id string, title string, section string, category string, content string, "
+        "source_url string, language string, crawled_at timestamp, valid_until timestamp, search_text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(9)], "query_id long, text string")
+
+    def hits(mode):
+        found = search.hybrid_search(asked, chunks, candidate_mode=mode)
+        return found.orderBy("query_id", "rank").collect()
+
+    usual = {mode: hits(mode) for mode in ("per_channel", "all")}
+    monkeypatch.setattr(search, "CARRIED_ROWS", 0)
+    monkeypatch.setattr(scan, "MAX_QUERIES", 4)
+    monkeypatch.setattr(scan, "CELLS", 500)
+    assert {mode: hits(mode) for mode in usual} == usual

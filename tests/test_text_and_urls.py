@@ -62,7 +62,7 @@ def brute_prose(raw, size=1100, overlap=160):
         if end == len(body):
             break
         at = max(0, end - overlap)
-    return list(dict.fromkeys(p for p in out if len(p) > 80))
+    return [p for p in out if len(p) > 80]  # equal pieces are kept
 
 
 def test_chunker_equals_brute_force_and_covers_the_text(spark):
