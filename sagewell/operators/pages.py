@@ -52,9 +52,18 @@ def skip_reason(
 
     Language rules apply only when the caller names no domains.
     """
-    path = F.lower(F.regexp_extract(url, u.ABSOLUTE, 3))
-    host = u.host(url)
     domains = allowed_domains or default_domains
+
+    def judge(parts: Column) -> Column:
+        return _skip_reason(
+            parts["url"], parts["path"], parts["host"], domains, include_subdomains, exclude_patterns,
+            (languages, unsupported_languages) if allowed_domains is None else None)
+
+    path = F.lower(F.regexp_extract(url, u.ABSOLUTE, 3))
+    return let(F.struct(url.alias("url"), path.alias("path"), u.host(url).alias("host")), judge)
+
+
+def _skip_reason(url, path, host, domains, include_subdomains, exclude_patterns, language_rules) -> Column:
     reason = (
         F.when(~_host_allowed(host, domains, include_subdomains), "external_domain")
         .when(path.rlike(ASSET_PATTERN), "static_asset")
@@ -63,7 +72,8 @@ def skip_reason(
     )
     for pattern in exclude_patterns:
         reason = reason.when(url.rlike("(?i)" + pattern), "excluded_by_policy")
-    if allowed_domains is None:
+    if language_rules is not None:
+        languages, unsupported_languages = language_rules
         rejected = path.rlike("/(" + "|".join(unsupported_languages) + ")(/|$)")
         supported = path.rlike("/(" + "|".join(languages) + ")(/|$)")
         reason = reason.when(rejected | ~supported, "unsupported_language")

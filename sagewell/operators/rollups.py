@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sagewell.session import materialized
+
 
 def category_counts(chunks: DataFrame, keys: tuple = ()) -> DataFrame:
     """Chunk count per category (null as ``unknown``), ordered by count then name."""
@@ -127,31 +129,33 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float = 0.95, buckets: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float = 0.95, buckets: int | None = None) -> DataFrame:
     """Nearest-rank percentile per key: the sorted value at ``round_half_even((n - 1) * p)``.
 
-    Exact without sorting a key in one task: a histogram finds the bucket that holds the wanted
-    position, and only that bucket's distinct values are ordered.
+    Exact without sorting a key in one task: equal values become one counted row, the rows are cut into
+    ranges of about equal size (``buckets`` of them, the session's shuffle partitions by default), wherever
+    their values lie, and only the range that holds the wanted position is ordered. The ranges are written
+    once: they are read twice, and their limits are sampled.
     """
-    v = F.col(value)
-    data = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
-    stats = data.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    slot = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).alias("_slot")
-    placed = data.join(stats, keys).select(*keys, "_v", "_n", slot)
-    running = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-    wanted = F.bround((F.col("_n") - 1) * F.lit(p)).cast("long")
+    spark = df.sparkSession
+    ranges = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cut = counted.repartitionByRange(ranges, *keys, "_v").withColumn("_range", F.spark_partition_id())
+    rows = materialized(cut, "ranks")
+    key = W.partitionBy(*keys)
+    running = key.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
     target = (
-        placed.groupBy(*keys, "_n", "_slot")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(running))
-        .filter((F.col("_upto") > wanted) & (F.col("_upto") - F.col("_c") <= wanted))
-        .select(*keys, "_slot", (wanted - (F.col("_upto") - F.col("_c"))).alias("_skip"))
+        rows.groupBy(*keys, "_range")
+        .agg(F.sum("_c").alias("_held"))
+        .select(*keys, "_range", (F.sum("_held").over(running) - F.col("_held")).alias("_before"), "_held",
+                F.bround((F.sum("_held").over(key) - 1) * F.lit(p)).cast("long").alias("_wanted"))
+        .filter((F.col("_before") <= F.col("_wanted")) & (F.col("_wanted") < F.col("_before") + F.col("_held")))
+        .select(*keys, "_range", (F.col("_wanted") - F.col("_before")).alias("_skip"))
     )
-    inside = placed.join(target, [*keys, "_slot"]).groupBy(*keys, "_v", "_skip").agg(F.count("*").alias("_c"))
-    ordered = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ordered = key.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     return (
-        inside.withColumn("_upto", F.sum("_c").over(ordered))
+        rows.join(target, [*keys, "_range"])
+        .withColumn("_upto", F.sum("_c").over(ordered))
         .filter((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_c") <= F.col("_skip")))
         .select(*keys, F.col("_v").alias(f"p{round(p * 100)}"))
     )
