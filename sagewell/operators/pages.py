@@ -331,8 +331,10 @@ def html_title(html: Column, default: str = "Untitled page") -> Column:
 
 
 def html_description(html: Column) -> Column:
-    pattern = r"(?is)<meta\s+name=[\"']description[\"']\s+content=[\"']([^\"']*)[\"']"
-    return visible_text(F.regexp_extract(html, pattern, 1))
+    """The page's description tag, whatever the order and the quotes of its attributes."""
+    tag = F.regexp_extract(html, r"(?is)<meta\s(?:[^>]*\s)?name\s*=\s*[\"']description[\"'][^>]*>", 0)
+    quoted = F.regexp_extract(tag, r"""(?is)\scontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return visible_text(let(quoted, lambda q: F.substring(q, F.lit(2), F.greatest(F.length(q) - 2, F.lit(0)))))
 
 
 def html_blocks(html: Column, min_chars: int = 12) -> Column:

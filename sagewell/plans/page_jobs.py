@@ -438,7 +438,7 @@ md_raw AS (
   UNION ALL SELECT page_id, 1, body FROM md_text WHERE length(body) BETWEEN 1 AND 1200),
 md_pieces AS (
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS chunk_no, content
-  FROM (SELECT page_id, min(n) AS n, content FROM md_raw WHERE content <> '' GROUP BY page_id, content))"""
+  FROM md_raw WHERE content <> '')"""
 )
 
 
@@ -479,6 +479,9 @@ _marked = _replace(
     "\x01\x02",
 )
 _tags = ", ".join(t.text(x) for x in ops.BLOCK_TAGS.split("|"))
+_meta = "regexp_extract(html, '(?is)<meta\\s(?:[^>]*\\s)?name\\s*=\\s*[\"'']description[\"''][^>]*>', 0)"
+_content = f"regexp_extract({_meta}, '(?is)\\scontent\\s*=\\s*(\"[^\"]*\"|''[^'']*'')', 1)"
+_DESCRIPTION = f"substr({_content}, 2, greatest(length({_content}) - 2, 0))"
 _related = t.any_of("lower(text[1:180])", vocab.RELATED_HEADINGS)
 BLOCKS = f"""
 block_parts AS (
@@ -488,7 +491,7 @@ blocks AS (
   SELECT * FROM (SELECT page_id, pos, lower(split_part(part, chr(2), 1)) AS tag, {visible_sql("split_part(part, chr(2), 2)")} AS text FROM block_parts)
   WHERE tag IN ({_tags}) AND length(text) >= 12),
 page_heads AS (SELECT page_id, {TITLE_SQL} AS title,
-   {visible_sql("regexp_extract(html, '(?is)<meta\\s+name=[\"'']description[\"'']\\s+content=[\"'']([^\"'']*)[\"'']', 1)")} AS description FROM pages),
+   {visible_sql(_DESCRIPTION)} AS description FROM pages),
 carried AS (
   SELECT page_id, pos, tag, text, last_value(head IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head

@@ -11,10 +11,17 @@ from sagewell.session import scratch_folder
 from sagewell.sources.sinks import append_new
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder as a file stream."""
+#: Files are taken up to this size a micro-batch, so that a backlog does not become one batch.
+BYTES_PER_TRIGGER = 64 << 30
+
+
+def table_stream(
+    spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = BYTES_PER_TRIGGER
+) -> DataFrame:
+    """A Parquet table of a folder as a file stream; one file is never divided."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(folder)
 
 
 def drain_to_files(stream: DataFrame, purpose: str) -> DataFrame:

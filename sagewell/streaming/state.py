@@ -90,6 +90,13 @@ def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
 
+def set_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One timer for each key: the one before is taken away."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
+
+
 class RateLimiter(StatefulProcessor):
     """List state: times of the accepted calls still inside the window."""
 
@@ -106,7 +113,7 @@ class RateLimiter(StatefulProcessor):
         verdicts = [rate_step(state, int(at), self.limit, self.window) for at in calls["at"]]
         if state:
             self.accepted.put([(at,) for at in state])
-            self.handle.registerTimer((state[-1] + self.window) // 1000 + 1)
+            set_timer(self.handle, (state[-1] + self.window) // 1000 + 1)
         yield pd.DataFrame(
             {**{n: k for n, k in zip(self.key_names, key)}, "event_id": calls["event_id"], "accepted": verdicts}
         )
@@ -139,7 +146,7 @@ class AnswerMemo(StatefulProcessor):
         calls = _rows(rows, ["at", "event_id"])
         verdicts = [memo_step(state, int(at), self.ttl) for at in calls["at"]]
         self.written.update((state[0],))
-        self.handle.registerTimer((state[0] + self.ttl) // 1000 + 1)
+        set_timer(self.handle, (state[0] + self.ttl) // 1000 + 1)
         yield pd.DataFrame(
             {**{n: k for n, k in zip(self.key_names, key)}, "event_id": calls["event_id"], "memo_hit": verdicts}
         )
@@ -173,7 +180,7 @@ class ConversationMemory(StatefulProcessor):
             for r in asked.itertuples(index=False)
         ]
         self.turns.put([(float(s), q) for s, q in state.turns])
-        self.handle.registerTimer(int(state.turns[-1][0] + self.ttl) * 1000 + 1)
+        set_timer(self.handle, int(state.turns[-1][0] + self.ttl) * 1000 + 1)
         result = pd.DataFrame(out, columns=["search_query", "rewrite_source", "remembered"])
         result.insert(0, "request_no", asked["request_no"])
         result.insert(0, "conversation_id", key[0])

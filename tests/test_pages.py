@@ -143,3 +143,15 @@ def test_character_references(spark):
     # References without a semicolon stay.
     expected = [c if c is None or c == "&unknown; & &; &amp" else html.unescape(c) for c in cases]
     assert got == expected
+
+
+def test_description_in_any_form(spark):
+    from sagewell.operators.pages import html_description
+
+    cases = {
+        '<meta name="description" content="It\'s &eacute;">': "It's é",
+        "<META content='one \"two\"' property=x NAME='description'/>": 'one "two"',
+        '<meta name="keywords" content="no">': "", "": "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "html string, wanted string")
+    assert all(r["d"] == r["wanted"] for r in rows.select(html_description(F.col("html")).alias("d"), "wanted").collect())
