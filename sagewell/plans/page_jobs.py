@@ -11,6 +11,7 @@ from sagewell.functions import vocab
 from sagewell.functions.text import first_rule
 from sagewell.operators import chunks as ch
 from sagewell.operators import pages as ops
+from sagewell.operators.rank import first_per
 from sagewell.plans import twins as t
 from sagewell.plans.registry import query
 from sagewell.sources import crawl
@@ -455,13 +456,16 @@ def p18(spark, folder):
     return markdown_pieces(spark, folder).select("page_id", F.col("chunk_no").cast("long"), "content")
 
 
-@query(
-    "p13_section_label",
-    f"""WITH RECURSIVE {MD_PIECES},
+MD_LABELS = f"""{MD_PIECES},
     piece_lines AS (SELECT page_id, chunk_no, unnest(a) AS raw, generate_subscripts(a, 1) AS pos
       FROM (SELECT page_id, chunk_no, string_split_regex(content, {t.text(ops.LINE_BREAK)}) AS a FROM md_pieces)),
     labels2 AS (SELECT page_id, chunk_no, min_by({_label.replace('line', 'raw')}, pos) AS label FROM piece_lines
-      WHERE starts_with(raw, '#') AND {_good(_label.replace('line', 'raw'))} GROUP BY page_id, chunk_no)
+      WHERE starts_with(raw, '#') AND {_good(_label.replace('line', 'raw'))} GROUP BY page_id, chunk_no)"""
+
+
+@query(
+    "p13_section_label",
+    f"""WITH RECURSIVE {MD_LABELS}
     SELECT p.page_id, CAST(p.chunk_no AS BIGINT) AS chunk_no, coalesce(l.label, m.title) AS section
     FROM md_pieces p JOIN md_text m ON m.page_id = p.page_id
     LEFT JOIN labels2 l ON l.page_id = p.page_id AND l.chunk_no = p.chunk_no""",
@@ -538,6 +542,37 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     )
 
 
+def markdown_chunks(pages: DataFrame) -> DataFrame:
+    """Markdown pages (``page_id, url, title, markdown``) to enriched chunks; map-only, for batch and streams."""
+    ready = pages.withColumn("site_id", u.site_key(F.col("url"))).withColumn("body", ops.markdown_text(F.col("markdown")))
+    pieces = ch.chunk(ready.drop("markdown").withColumnRenamed("url", "source_url"), "body", style="markdown")
+    stamped = pieces.withColumn("section", ops.section_label(F.col("content"), F.col("title"))).withColumn(
+        "crawled_at", F.expr(CRAWL_TIME))
+    return ch.enrich_chunks(
+        stamped, vocab.CATEGORY_RULES, vocab.TTL_DAYS, vocab.PLACE_RULES, default_category=vocab.DEFAULT_CATEGORY
+    )
+
+
+_md_probe = "lower(m.title || ' ' || coalesce(l.label, m.title) || ' ' || p.content)"
+
+
+@query(
+    "s7_markdown_chunks",
+    f"""WITH RECURSIVE {MD_LABELS}, {PAGE_URLS},
+    made AS (SELECT {t.slug('u.host')} AS site_id, sha256(u.source || chr(10) || p.content) AS content_hash, p.page_id, p.chunk_no,
+        {t.first_rule(_md_probe, vocab.CATEGORY_RULES, vocab.DEFAULT_CATEGORY)} AS category
+      FROM md_pieces p JOIN md_text m ON m.page_id = p.page_id JOIN page_urls u ON u.page_id = p.page_id
+      LEFT JOIN labels2 l ON l.page_id = p.page_id AND l.chunk_no = p.chunk_no),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY site_id, content_hash ORDER BY page_id, chunk_no) AS rn FROM made)
+    SELECT site_id, content_hash, page_id, CAST(chunk_no AS BIGINT) AS chunk_no, category FROM placed WHERE rn = 1""",
+)
+def s7_markdown(spark, folder):
+    """Markdown pages cleaned, cut, labelled and enriched, then inserted if absent into an empty table."""
+    made = markdown_chunks(markdown_pages(spark, folder))
+    kept = first_per(made, ["site_id", "content_hash"], [F.asc("page_id"), F.asc("chunk_no")])
+    return kept.select("site_id", "content_hash", "page_id", F.col("chunk_no").cast("long"), "category")
+
+
 @query(
     "p23_language_rollup",
     f"""WITH {LINKS} SELECT CASE WHEN contains(lower(url), '/en/') THEN 'en' WHEN contains(lower(url), '/fr/') THEN 'fr'
