@@ -18,7 +18,8 @@ from sagewell.plans.chunk_jobs import document_pieces
 from sagewell.plans.page_jobs import TITLE_SQL, strip_sql
 from sagewell.plans.registry import query
 from sagewell.plans.retrieval_jobs import HOME, PROFILES, questions, search_sql, site_table, stored_chunks
-from sagewell.session import materialized
+from sagewell.session import materialized, scratch_folder
+from sagewell.sources import sinks
 from sagewell.sources.tables import spread, table
 
 
@@ -107,8 +108,13 @@ def w6(spark, folder):
 
 @query("s11_turn_append", f"WITH {TALK} SELECT thread_id, 'default' AS site_id, turn, transcript, answer FROM threads")
 def s11(spark, folder):
-    """The rows appended to the thread table for every finished turn."""
-    return threads(spark, folder).select("thread_id", F.lit("default").alias("site_id"), "turn", "transcript", "answer")
+    """Finished turns appended to the thread table in two batches and read back."""
+    path = scratch_folder(spark, "turns")
+    done = threads(spark, folder).select("thread_id", F.lit("default").alias("site_id"), "turn", "transcript", "answer")
+    early = F.col("turn") % 4 < 2
+    sinks.append_turns(done.where(early), path)
+    sinks.append_turns(done.where(~early), path)
+    return spark.read.schema(done.schema).parquet(path).select(*done.columns)
 
 
 @query(

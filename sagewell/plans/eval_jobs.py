@@ -98,7 +98,7 @@ def s12(spark, folder):
        CASE WHEN toxic = 0 THEN CAST(2 AS BIGINT) ELSE 0 END AS turns FROM labels""",
 )
 def s6(spark, folder):
-    """Case sets of both shapes (one transcript, or a list of turns) through the declared schema."""
+    """Case sets of both shapes (one transcript, or a list of turns) as JSON files, read with the declared schema."""
     single = F.struct(F.col("id").cast("string").alias("id"), F.lit("hello").alias("transcript"), "expected_intent", "expected_handoff")
     many = F.struct(
         F.col("id").cast("string").alias("id"), F.array(F.lit("hello"), F.lit("and then?")).alias("turns"), "expected_intent", "expected_handoff"
@@ -106,7 +106,9 @@ def s6(spark, folder):
     stored = case_table(spark, folder).select(
         F.when(F.col("requires_citations"), F.to_json(many)).otherwise(F.to_json(single)).alias("value")
     )
-    return crawl.parse_cases(stored).select(
+    path = scratch_folder(spark, "cases")
+    stored.write.text(path)
+    return crawl.read_cases(spark, path, lines=True).select(
         "id", "expected_intent", "expected_handoff", F.coalesce(F.size("turns"), F.lit(0)).cast("long").alias("turns")
     ).withColumn("turns", F.greatest("turns", F.lit(0)))
 

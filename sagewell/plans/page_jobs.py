@@ -14,6 +14,7 @@ from sagewell.operators import pages as ops
 from sagewell.operators.rank import first_per
 from sagewell.plans import twins as t
 from sagewell.plans.registry import query
+from sagewell.session import scratch_folder
 from sagewell.sources import crawl
 from sagewell.sources.tables import spread, table
 
@@ -675,6 +676,13 @@ def envelopes(spark, folder):
 _envelope = f"WITH {LINES} SELECT title, url AS source_url, CAST(200 AS BIGINT) AS status_code, CAST(length(markdown) AS BIGINT) AS chars FROM md"
 
 
+def delivered(spark, documents, *by):
+    """JSON documents as a crawl service leaves them: text files, one document per line."""
+    path = scratch_folder(spark, "crawl")
+    documents.write.partitionBy(*by).text(path)
+    return path
+
+
 def _page_facts(pages):
     return pages.select(
         "title", "source_url", F.col("status_code").cast("long"), F.length("markdown").cast("long").alias("chars")
@@ -683,7 +691,9 @@ def _page_facts(pages):
 
 @query("s1_crawl_result", _envelope)
 def s1(spark, folder):
-    return _page_facts(crawl.pages_of(crawl.parse_envelopes(envelopes(spark, folder))))
+    """Crawl results written as JSON files and read with the declared schema."""
+    path = delivered(spark, envelopes(spark, folder).select("value"))
+    return _page_facts(crawl.read_crawl_results(spark, path, lines=True))
 
 
 @query("s2_single_page", _envelope)
@@ -692,7 +702,7 @@ def s2(spark, folder):
     bare = F.get_json_object("value", "$.data[0]")
     wrapped = F.concat(F.lit('{"success":true,"data":'), bare, F.lit("}"))
     single = envelopes(spark, folder).select(F.when(F.col("page_id") % 2 == 0, wrapped).otherwise(bare).alias("value"))
-    return _page_facts(crawl.pages_of(crawl.parse_single(single)))
+    return _page_facts(crawl.read_single_pages(spark, delivered(spark, single), lines=True))
 
 
 @query(
@@ -716,7 +726,7 @@ def s3(spark, folder):
     f"WITH {LINES} SELECT title, url AS source_url, CAST(200 AS BIGINT) AS status_code, CAST(length(markdown) AS BIGINT) AS chars FROM md",
 )
 def s4(spark, folder):
-    """A crawl delivered in parts (one per host scheme) is the union of its parts."""
-    env = envelopes(spark, folder)
-    parts = [env.filter(F.col("value").contains('"sourceURL":"' + s)) for s in ("http://", "https://")]
-    return _page_facts(crawl.merge_parts([crawl.pages_of(crawl.parse_envelopes(p)) for p in parts]))
+    """A crawl delivered in parts, one folder for each scheme, is read as one."""
+    part = F.when(F.col("value").contains('"sourceURL":"https://'), "secure").otherwise("plain")
+    path = delivered(spark, envelopes(spark, folder).select("value", part.alias("part")), "part")
+    return _page_facts(crawl.read_crawl_results(spark, path, lines=True))

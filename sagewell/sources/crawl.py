@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,30 +27,22 @@ CASE = (
 )
 
 
-def read_crawl_results(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of every stored part of a crawl; ``path`` is a file or a folder of parts."""
-    return pages_of(spark.read.schema(ENVELOPE).json(path, multiLine=True).select("data"))
-
-
-def read_single_pages(spark: SparkSession, path: str) -> DataFrame:
-    return pages_of(_single_pages(spark.read.schema(SINGLE).json(path, multiLine=True)))
-
-
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Golden evaluation cases of either shape (single transcript or list of turns)."""
-    return spark.read.schema(CASE).json(path, multiLine=True)
-
+def read_crawl_results(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Pages of every stored part of a crawl; ``path`` is a file or a folder of parts.
 
-def parse_cases(df: DataFrame, column: str = "value") -> DataFrame:
-    return df.select(F.from_json(column, CASE).alias("c")).select("c.*")
+    A part is one JSON document; with ``lines`` a file holds one document per line and large files are split.
+    """
+    return pages_of(spark.read.schema(ENVELOPE).json(path, multiLine=not lines).select("data"))
 
 
-def parse_envelopes(df: DataFrame, column: str = "value") -> DataFrame:
-    return df.select(F.from_json(column, ENVELOPE).alias("e")).select("e.data")
+def read_single_pages(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Pages stored one by one, wrapped in ``data`` or bare."""
+    return pages_of(_single_pages(spark.read.schema(SINGLE).json(path, multiLine=not lines)))
 
 
-def parse_single(df: DataFrame, column: str = "value") -> DataFrame:
-    return _single_pages(df.select(F.from_json(column, SINGLE).alias("e")).select("e.*"))
+def read_cases(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Golden evaluation cases of either shape (single transcript or list of turns)."""
+    return spark.read.schema(CASE).json(path, multiLine=not lines)
 
 
 def _single_pages(df: DataFrame) -> DataFrame:
@@ -75,10 +65,6 @@ def pages_of(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def merge_parts(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def site_map_urls(maps: DataFrame, column: str = "value") -> DataFrame:
     """URLs of site-map lists whose items are objects with ``url`` or bare strings; blanks dropped."""
     rest = [c for c in maps.columns if c != column]
