@@ -41,14 +41,16 @@ def budgets(leaves: DataFrame, levels: list[str], weights: list[Column], budget:
     live = nodes.withColumn(
         "cap", F.when(F.expr(" and ".join(f"w{d} > 0" for d in range(len(levels)))), F.col("cap")).otherwise(0)
     )
-    shares = live.groupBy().agg(F.least(budget, F.sum("cap")).cast("long").alias("b"))
     given = None
     for depth in range(len(levels)):
         parent, path = levels[:depth], levels[: depth + 1]
         level = live.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"w{depth}").alias("w"))
-        level = level.crossJoin(shares) if depth == 0 else level.join(given, parent)
-        ratio = F.when(F.col("w") > 0, F.col("cap") / F.col("w"))
         siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+        if parent:
+            level = level.join(given, parent)
+        else:
+            level = level.withColumn("b", F.least(budget, F.sum("cap").over(siblings)).cast("long"))
+        ratio = F.when(F.col("w") > 0, F.col("cap") / F.col("w"))
         order = siblings.orderBy(ratio.asc_nulls_last(), *path)
         upto = order.rowsBetween(Window.unboundedPreceding, -1)
         level = level.withColumns({
