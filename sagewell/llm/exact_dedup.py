@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagewell.llm.shared import batch, partitions_for, stored, texts_of
+from sagewell.llm.shared import aside, batch, partitions_for, stored, texts_of
 
 #: Fixed by the definition of equality: the characters that are deleted, 0x20 and 0x09 to 0x0D.
 DELETED = " \t\n\x0b\x0c\r"
@@ -216,6 +216,7 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept row of each group of equal texts; columns and their order are unchanged."""
+    names, docs = docs.columns, aside(docs, "doc_id", "text")
     kept = stored(exact_groups(docs).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "grace-kept")
     sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), DELETED, "").cast("binary"), 256)
@@ -227,10 +228,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     # Only a table in which an id occurs twice can hold more rows than were kept.
     repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
     if repeated.isEmpty():
-        return found.select(*docs.columns)
+        return found.select(*docs.columns).toDF(*names)
     repeated = stored(repeated, "grace-repeated")
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     once = found.join(repeated, same, "left_anti")
     longest = found.join(repeated, same, "left_semi").groupBy("doc_id", "__sha").agg(
         F.max_by(F.struct(*docs.columns), F.col("__chars")).alias("__row"))
-    return once.select(*docs.columns).unionByName(longest.select("__row.*").select(*docs.columns))
+    whole = once.select(*docs.columns).unionByName(longest.select("__row.*").select(*docs.columns))
+    return whole.toDF(*names)

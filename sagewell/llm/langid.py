@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagewell.llm.shared import batch, texts_of
+from sagewell.llm.shared import aside, batch, texts_of
 
 SLOTS = 1 << 15
 ORDERS = (2, 3)
@@ -171,6 +171,7 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     The decision is taken row by row in the scan, so rows need no key. An ambiguous language is still a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, docs = docs.columns, aside(docs, text_col)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -179,4 +180,4 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             known = [decoder.decode(text)[0] != UNDETERMINED for text in texts_of(part.column(at))]
             yield part.filter(pa.array(known, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -86,8 +86,9 @@ def mix(
     document is taken, 0 for never: once per whole epoch, and once more if the leaf's shuffled prefix reaches
     it. The prefix ends before the first document that would pass the budget. Documents without tokens are
     taken when the prefix has not ended before them. Repeated rows are counted and placed one by one, an empty
-    table gives an empty table.
+    table gives an empty table. Columns of ``docs`` that are named ``mix_`` and more are left out.
     """
+    docs = docs.drop(*[name for name in docs.columns if name.startswith("mix_")])
     names = [f"mix_{name}" for name in levels]
     count = word_count(text_col) if tokens is None else tokens
     marked = docs.withColumns(

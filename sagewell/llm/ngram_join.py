@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sagewell.llm.graph import components
-from sagewell.llm.shared import batch, stored, texts_of
+from sagewell.llm.shared import aside, batch, stored, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -305,11 +305,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without any word are all kept. Columns and their order are unchanged.
     """
+    names, docs = docs.columns, aside(docs, "doc_id", "text")
     found = stored(similar_documents(docs), "ngram-groups")
     kept = found.where("root is null or doc_id = class_id or class_id is null").select(F.col("doc_id").alias("__id"))
     twice = repeated_ids(found)
     if twice.isEmpty():
-        return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns)
+        return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns).toDF(*names)
     once = kept.join(twice, F.col("__id").eqNullSafe(F.col("__twice")), "left_anti")
     clear = docs.join(once, F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns)
     unclear = with_node(docs.join(twice, F.col("doc_id").eqNullSafe(F.col("__twice")), "left_semi"), "text")
@@ -320,4 +321,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .groupBy("__root").agg(F.min_by(F.struct(*docs.columns), F.col("__node")).alias("__row"))
         .select("__row.*").select(*docs.columns)
     )
-    return clear.unionByName(unclear.where("__node is null").select(*docs.columns)).unionByName(chosen)
+    wordless = unclear.where("__node is null").select(*docs.columns)
+    return clear.unionByName(wordless).unionByName(chosen).toDF(*names)

@@ -26,6 +26,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return materialized(df, purpose)
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with every column but the ``used`` ones under a neutral name; ``toDF`` gives the names back.
+
+    Rows that are handed on whole may carry columns of any name, also those that a job makes for itself.
+    """
+    return docs.toDF(*[name if name in used else f"extra_{at}" for at, name in enumerate(docs.columns)])
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of an id as text, modulo ``folds``; a null id counts as remainder 0."""
     digest = F.crc32(F.col(key).cast("string").cast("binary"))

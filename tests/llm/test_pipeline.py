@@ -1,5 +1,6 @@
 import brute
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from sagewell.sources.tables import table
 
@@ -43,3 +44,18 @@ def test_stages_take_an_empty_table(spark):
     docs = table(spark, FOLDER, "documents").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, FOLDER, "documents").limit(60)
+    own = ["__id", "__node", "__sha", "node", "root", "kept", "mix_tokens", "mix_copies", "a.b", "extra_0"]
+    wide = docs.toDF(*docs.columns).select("*", *[F.concat(F.lit(f"{name}:"), "doc_id").alias(name) for name in own])
+    twice = wide.unionByName(wide.limit(5)).unionByName(wide.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for rows in (wide, twice):
+        now = rows
+        for name, stage in pipeline.STAGES[:-1]:
+            now = stage(spark, now, FOLDER)
+            assert now.columns == rows.columns, name
+        left = now.collect()
+        assert left
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in left if r.doc_id is not None for c in own)
