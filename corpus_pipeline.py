@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sagewell.llm import exact_dedup, langid, mixing, ngram_join, pieces
 from sagewell.llm.queries import mix_levels, mix_weights
-from sagewell.llm.shared import fold, prepare, stored
+from sagewell.llm.shared import aside, fold, prepare, stored
 from sagewell.sources.tables import table
 
 #: The mixture takes this share of the tokens it is given, each document once at most.
@@ -43,8 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Select documents so that domains, languages and sources approach their target weights."""
     prepare(spark)
-    mixed = mixing.mix(docs, mix_levels(), mix_weights(), share=MIX_SHARE, epochs=1)
-    return mixing.taken(mixed, docs.columns)
+    plain = aside(docs, "doc_id", "text", "lang", "source")
+    mixed = mixing.mix(plain, mix_levels(), mix_weights(), share=MIX_SHARE, epochs=1)
+    return mixing.taken(mixed, plain.columns).toDF(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
