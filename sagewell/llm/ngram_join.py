@@ -29,7 +29,10 @@ TREES = 20
 DEPTH = 8
 RECALL = 0.9999
 #: A tile holds clusters, or parts of one, of about so much text.
-TILE_BYTES = 8 << 20
+TILE_BYTES = 4 << 20
+#: Words whose fingerprints a task remembers, and list entries of shared n-grams it counts at once.
+KNOWN_WORDS = 200_000
+ENTRIES = 1 << 19
 MIX, STEP, FINAL = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 NODES = pa.schema([
     ("doc_id", pa.int64()), ("node", pa.binary()), ("grams", pa.int64()), ("bytes", pa.int64()),
@@ -55,7 +58,7 @@ class Shingler:
         tokens = (text or "").lower().split()
         if not tokens:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > 2_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         known = self.known
         for token in tokens:
@@ -160,21 +163,29 @@ def verifier(words: int, similarity: float):
             size = np.array([len(s) for s in sets])
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
-            owner = np.repeat(np.arange(len(sets)), size)[order]
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
             values = flat[order]
             starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            slot = np.empty(len(flat), dtype=np.int64)
-            slot[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+            slot = np.empty(len(flat), dtype=np.int32)
+            slot[order] = np.repeat(
+                np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(values))))
             ends = np.append(starts[1:], len(values))
+            del flat, order, values, sets
             at = np.concatenate([[0], np.cumsum(size)])
-            links, forest, n = np.zeros(len(sets), dtype=np.int64), Forest(len(sets)), len(sets)
+            n = len(size)
+            links, forest = np.zeros(n, dtype=np.int64), Forest(n)
             for i in range(n):
                 if not left[i]:
                     continue
                 own = slot[at[i]: at[i + 1]]
-                lengths = ends[own] - starts[own]
-                offsets = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-                common = np.bincount(owner[offsets + np.arange(lengths.sum())], minlength=n)
+                common = np.zeros(n, dtype=np.int64)
+                # No list is longer than n, so a step holds a bounded number of entries.
+                step = max(1, ENTRIES // n)
+                for first in range(0, len(own), step):
+                    some = own[first: first + step]
+                    lengths = ends[some] - starts[some]
+                    offsets = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+                    common += np.bincount(owner[offsets + np.arange(lengths.sum())], minlength=n)
                 # Each pair once: on a diagonal tile by order, else left against right.
                 other = right.copy()
                 other[i] = False
