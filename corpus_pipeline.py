@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left, checked by decoding."""
+    """Digests of the piece ids, decoding and spans of every document that is left."""
     prepare(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("digests",))
 

@@ -185,7 +185,7 @@ FIELDS = {
     "ids": ("ids array<int>", pa.list_(pa.int32())),
     "spans": ("begins array<long>, ends array<long>", None),
     "decoded": ("decoded string", pa.string()),
-    "digests": ("ids_sha256 string, decoded_sha256 string", None),
+    "digests": ("ids_sha256 string, decoded_sha256 string, spans_sha256 string", None),
 }
 
 
@@ -197,8 +197,10 @@ def encode(
 
     ``ids`` are the library's ids with begin and end; ``spans`` are ``begins`` and ``ends``, byte offsets into
     the UTF-8 original, one pair per id; ``decoded`` is the library's text for the ids; ``digests`` are SHA-256
-    of the ids as little-endian unsigned 32-bit integers and of the decoded UTF-8. A null text counts as
-    empty: begin and end id only. Repeated rows give repeated rows, no rows give none.
+    of the ids as little-endian unsigned 32-bit integers, of the decoded UTF-8 and of the spans as pairs of
+    little-endian unsigned 64-bit integers, begin before end. Digests need the spans, so every text is
+    normalised and its pieces are checked to cover it. A null text counts as empty: begin and end id only.
+    Repeated rows give repeated rows, no rows give none.
     """
     columns = [("doc_id", pa.int64()), ("n_tokens", pa.int64())]
     if "ids" in outputs:
@@ -208,7 +210,7 @@ def encode(
     if "decoded" in outputs:
         columns.append(("decoded", pa.string()))
     if "digests" in outputs:
-        columns += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+        columns += [(f"{name}_sha256", pa.string()) for name in ("ids", "decoded", "spans")]
     schema = pa.schema(columns)
     ddl = ", ".join(["doc_id long", "n_tokens long", *(FIELDS[name][0] for name in FIELDS if name in outputs)])
 
@@ -224,7 +226,7 @@ def encode(
                 found = {"doc_id": doc_id, "n_tokens": len(ids)}
                 if "ids" in outputs:
                     found["ids"] = ids
-                if "spans" in outputs:
+                if "spans" in outputs or "digests" in outputs:
                     found["begins"], found["ends"] = pieces.spans(text, ids)
                 if "decoded" in outputs or "digests" in outputs:
                     decoded = pieces.model.decode(listed)
@@ -232,6 +234,8 @@ def encode(
                     if "digests" in outputs:
                         found["ids_sha256"] = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
                         found["decoded_sha256"] = hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+                        pairs = np.column_stack([found["begins"], found["ends"]])
+                        found["spans_sha256"] = hashlib.sha256(pairs.astype("<u8").tobytes()).hexdigest()
                 for name in out:
                     out[name].append(found[name])
                 held += len(ids) if len(outputs) > 1 or "digests" not in outputs else 1

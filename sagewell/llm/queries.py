@@ -51,7 +51,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests of every document's piece ids and of their decoding."""
+    """Digests of every document's piece ids, of their decoding and of their spans in the original."""
     return pieces.encode(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("digests",))
 

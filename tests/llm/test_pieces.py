@@ -47,3 +47,22 @@ def test_character_map_takes_the_longest_prefix_and_keeps_the_alignment():
         assert len(align) == len(data) + 1 and (np.diff(align) >= 0).all()
     data, align = own("ﬁne".encode())
     assert data == "▁fine".encode() and align.tolist() == [0, 0, 0, 0, 0, 3, 4, 5]
+
+
+def test_query_and_stage_find_the_spans_of_every_document(spark):
+    import corpus_pipeline
+
+    import __spark_entry__ as entry
+    from sagewell.sources.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    found = pieces.encode(docs, PATH, outputs=("ids", "spans")).collect()
+    expected = {}
+    for row in found:
+        pairs = np.array([row.begins, row.ends], dtype="<u8").T
+        assert pairs[0].tolist() == [0, 0] and pairs[-1, 0] == pairs[-1, 1]
+        expected[row.doc_id] = len(row.ids), hashlib.sha256(pairs.tobytes()).hexdigest()
+    assert len(expected) == len(found) == docs.count()
+    stage = dict(corpus_pipeline.STAGES)["pieces"](spark, docs, "/root/testdata/sf0.001")
+    for rows in (entry.queries()["op2_sentencepiece"](spark, "/root/testdata/sf0.001"), stage):
+        assert {r.doc_id: (r.n_tokens, r.spans_sha256) for r in rows.collect()} == expected
