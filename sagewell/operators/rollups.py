@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sagewell.session import materialized
 
@@ -28,23 +34,68 @@ def expired(as_of: Column) -> Column:
 def doc_set_hash(chunks: DataFrame, keys: tuple = (), prefix_chars: int = 0) -> DataFrame:
     """Fingerprint of the set of content hashes, whole or per key.
 
-    The md5 of all hashes, sorted and joined by commas. A digest over one string is one row's work, so
-    a key's hashes meet in one task. For keys without a bound ``prefix_chars`` gives another value,
-    built in two levels: a digest per bucket of equal leading characters, then one over the buckets.
+    The md5 of all hashes, sorted and joined by commas. A digest over one sequence is one task's work, so
+    a key's hashes meet in one task, but only as sorted rows: Spark's sort spills, and the digest takes
+    them batch by batch, so memory does not grow with a key. ``prefix_chars`` gives another value, built
+    in two levels: a digest per bucket of equal leading characters, then one over the buckets.
     """
-    bucket = F.substring("content_hash", 1, prefix_chars) if prefix_chars else F.lit("")
+    if not prefix_chars:
+        return _streamed_hash(chunks, keys)
+    bucket = F.substring("content_hash", 1, prefix_chars)
     low = chunks.groupBy(*keys, bucket.alias("_bucket")).agg(
         F.md5(F.array_join(F.sort_array(F.collect_list("content_hash")), ",").cast("binary")).alias("_md5"),
         F.count("*").alias("_n"),
     )
-    if not prefix_chars:
-        return low.select(*keys, F.col("_md5").alias("doc_set_hash"), F.col("_n").alias("chunks"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("_bucket", "_md5"))), lambda p: p["_md5"])
     return low.groupBy(*keys).agg(
         F.md5(F.array_join(parts, ",").cast("binary")).alias("doc_set_hash"), F.sum("_n").alias("chunks")
     )
 
 
+def _streamed_hash(chunks: DataFrame, keys: tuple) -> DataFrame:
+    """The md5 of each key's hashes in order; rows without a hash are counted only."""
+    rows = chunks.select(*keys, F.col("content_hash").cast("string").alias("content_hash"))
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    out = T.StructType([
+        *rows.schema.fields[:-1], T.StructField("doc_set_hash", T.StringType()), T.StructField("chunks", T.LongType())
+    ])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, held, digest, empty, n = None, None, hashlib.md5(), True, 0
+        for part in batches:
+            fields = list(part.schema)[:-1]
+            lists = [column.to_pylist() for column in part.columns]
+            done = []
+            for key, group in groupby(zip(*lists, strict=True), key=lambda row: row[:-1]):
+                if key != held:
+                    if held is not None:
+                        done.append((*held, digest.hexdigest(), n))
+                    held, digest, empty, n = key, hashlib.md5(), True, 0
+                hashes = [row[-1] for row in group]
+                n += len(hashes)
+                known = [h for h in hashes if h is not None]
+                if known:
+                    digest.update((("" if empty else ",") + ",".join(known)).encode())
+                    empty = False
+            yield from _hash_rows(done, fields)
+        if held is not None:
+            yield from _hash_rows([(*held, digest.hexdigest(), n)], fields)
+
+    found = dealt.sortWithinPartitions(*keys, "content_hash").mapInArrow(digests, out)
+    if keys:
+        return found
+    nothing = hashlib.md5().hexdigest()
+    return found.agg(F.coalesce(F.max("doc_set_hash"), F.lit(nothing)).alias("doc_set_hash"),
+                     F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks"))
+
+
+def _hash_rows(done: list[tuple], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+    if done:
+        schema = pa.schema([*fields, ("doc_set_hash", pa.string()), ("chunks", pa.int64())])
+        columns = zip(*done, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def site_status(chunks: DataFrame, sites: DataFrame, as_of: Column) -> DataFrame:
     """One row per known site: chunk count, latest crawl, stale count and counts per category.
 

@@ -115,6 +115,34 @@ def test_fingerprint_levels(spark):
     assert before == rollups.doc_set_hash(df.orderBy(F.rand())).first()["doc_set_hash"] != after
 
 
+def test_fingerprint_streams_the_sorted_hashes(spark):
+    import hashlib
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), i % 3, hashlib.sha256(str(rng.randint(0, 300)).encode()).hexdigest())
+            for i in range(2000)] + [("hot", 1, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "site_id string, part int, content_hash string").repartition(7)
+
+    def md5(hashes):
+        return hashlib.md5(",".join(sorted(h for h in hashes if h)).encode()).hexdigest(), len(hashes)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for keys in ((), ("site_id",), ("site_id", "part")):
+            groups = {}
+            for row in rows:
+                groups.setdefault(row[:len(keys)], []).append(row[2])
+            found = rollups.doc_set_hash(df, keys)
+            assert {tuple(r)[:len(keys)]: tuple(r)[len(keys):] for r in found.collect()} == {k: md5(v) for k, v in groups.items()}
+            # No key's hashes are gathered in one row.
+            assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert tuple(rollups.doc_set_hash(df.limit(0)).first()) == md5([])
+    assert rollups.doc_set_hash(df.limit(0), ("site_id",)).count() == 0
+
+
 def test_search_is_the_same_beyond_its_bounds(spark, monkeypatch):
     from sagewell.operators import scan
     rng = random.Random(9)
