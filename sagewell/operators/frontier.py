@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ def expand_frontier(
     *,
     budget: int,
     strict: bool = False,
+    job: Callable[[Column], Column] | None = None,
     **policy,
 ) -> DataFrame:
     """Visit admitted URLs under a page budget; read pages add their links to the frontier.
@@ -58,7 +61,9 @@ def expand_frontier(
         ordered = present.withColumn("sort_rank", category_rank(F.col("category"))).withColumn(
             "scraped", F.coalesce("scraped", F.lit(False))
         )
-        if strict:
+        if job is not None:
+            taken = _affordable(ordered.withColumn("job", job(F.col("url"))), log, job, budget, strict)
+        elif strict:
             taken = ordered.orderBy("sort_rank", "url").limit(1)
         else:
             # Failed URLs before the last affordable page are visited too. ``limit`` keeps the best
@@ -79,7 +84,8 @@ def expand_frontier(
         counts = taken.agg(F.count("*").alias("n"), F.count_if("scraped").alias("ok")).first()
         if counts["n"] == 0:
             break
-        left -= counts["ok"]
+        if job is None:
+            left -= counts["ok"]
         log = taken if log is None else log.unionByName(taken).checkpoint()
         seen = seen.unionByName(taken.select("url")).checkpoint()
         read = links_of.join(taken.filter("scraped").select(F.col("url").alias("key")), "key", "left_semi")
@@ -94,6 +100,29 @@ def expand_frontier(
     )
 
 
+def _affordable(
+    ordered: DataFrame, log: DataFrame | None, job: Callable[[Column], Column], budget: int, strict: bool
+) -> DataFrame:
+    """The open URLs of one wave under a budget per job, by the rule for one job.
+
+    The window keeps at most ``budget`` rows a job and is pruned before its shuffle; all rows of a
+    job meet only its one row of the page it can afford last.
+    """
+    rows = ordered.withColumn("left", F.lit(budget))
+    if log is not None:
+        spent = log.filter("scraped").groupBy(job(F.col("url")).alias("job")).agg(F.count("*").alias("spent"))
+        rows = ordered.join(spent, "job", "left").withColumn("left", budget - F.coalesce("spent", F.lit(0)))
+        rows = rows.filter("left > 0")
+    place = F.row_number().over(W.partitionBy("job").orderBy("sort_rank", "url"))
+    if strict:
+        return rows.withColumn("place", place).filter("place = 1")
+    paid = rows.filter("scraped").withColumn("place", place).filter((F.col("place") <= budget) & (F.col("place") <= F.col("left")))
+    last = paid.groupBy("job").agg(F.max(F.struct("sort_rank", "url")).alias("last"), F.count("*").alias("paid"))
+    return rows.join(last, "job", "left").filter(
+        F.col("paid").isNull() | (F.col("paid") < F.col("left")) | (F.struct("sort_rank", "url") <= F.col("last"))
+    )
+
+
 def visit_summary(log: DataFrame) -> DataFrame:
     """Scraped and failed counts per wave and category."""
     return log.groupBy("wave", "category").agg(

@@ -84,6 +84,35 @@ def test_wave_frontier_reaches_everything_within_budget(spark):
     }
 
 
+def test_every_job_of_a_frontier_has_its_own_budget(spark):
+    from sagewell.functions.urls import site_key
+
+    hosts = [f"h{i}.site.test" for i in range(5)]
+    rows = []
+    for at, host in enumerate(hosts):
+        first = "".join(f'<a href="/{x}">{x}</a>' for x in ("b", "c", "price/late"))
+        rows += [(10 * at, f"https://{host}/", first), (10 * at + 1, f"https://{host}/b", '<a href="/price/new">n</a>'),
+                 (10 * at + 2, f"https://{host}/c", ""), (10 * at + 3, f"https://{host}/price/new", "")]
+    rows += [(100 + i, f"https://h0.site.test/z{i}", "") for i in range(20)]
+    stored = spark.createDataFrame(rows, "page_id long, url string, html string")
+    start = stored.filter("page_id % 10 = 0 AND page_id < 100")
+    policy = {**POLICY, "allowed_domains": hosts}
+
+    def crawl_of(some):
+        mine = start.filter(F.col("url").isin([f"https://{h}/" for h in some]))
+        found = pages.merge_candidates(pages.page_links(mine), stored.filter("page_id >= 100").select("url").filter(
+            F.lit(hosts[0] in some)), f"https://{some[0]}/")
+        return {tuple(r) for r in frontier.expand_frontier(
+            found, stored, mine.select("url"), budget=2, job=site_key, **policy
+        ).select("url", "category", "wave", "scraped").collect()}
+
+    # All jobs together visit what each visits alone, so none waits for another's budget.
+    together = crawl_of(hosts)
+    assert {h: sum(r[3] for r in together if r[0].startswith(f"https://{h}/")) for h in hosts} == dict.fromkeys(hosts, 2)
+    for host in (hosts[0], hosts[3]):
+        assert {r for r in together if r[0].startswith(f"https://{host}/")} == crawl_of([host])
+
+
 def test_crawl_files_and_single_pages(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data":[{"markdown":"# A","metadata":{"title":"A","sourceURL":"https://site.test/a"}},{"metadata":{"url":"https://site.test/b"}}]}')
     (tmp_path / "b.json").write_text('{"data":[{"markdown":"# C","metadata":{"sourceURL":"https://site.test/c"},"links":["x"]}]}')
