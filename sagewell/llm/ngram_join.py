@@ -1,9 +1,8 @@
-"""Similarity join on word n-grams by Jaccard, with a MinHash LSH forest.
+"""Similarity join on word n-grams by Jaccard, with MinHash LSH banding.
 
 Documents with the same set of n-grams are one class and are represented once. Every class gets a signature,
-cut into trees; a tree orders classes by the prefix trie of their part of the signature. Matching prefixes
-start at full depth and are shortened until the trees together reach the target recall at the threshold.
-Classes under one trie node are candidates. Candidate clusters are brought together once, tile by tile, and
+cut into bands of one depth: the longest with which all bands together reach the target recall at the
+threshold. Classes with an equal band are candidates. Candidate clusters are brought together once, tile by tile, and
 every pair in a tile is verified exactly by counting common n-grams, without making pairs into rows.
 N-grams are compared by 64-bit fingerprints.
 """
