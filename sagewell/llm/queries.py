@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.llm import (
-    exact_dedup, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc,
+    exact_dedup, hard_negatives, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc,
 )
 from sagewell.llm.shared import fold, prepare, stored
 from sagewell.sources.tables import table
@@ -271,3 +271,29 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"),
         F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_budget").alias("leaf_budget"), F.col("mix_copies").alias("copies"))
+
+
+@query("op11_hard_negatives", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same,
+         CAST(list_dot_product(a.v::DOUBLE[], e.v::DOUBLE[]) AS BIGINT) AS score
+  FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Three negatives for each of the five positives of every vector whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.entries(table(spark, folder, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
