@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.llm import (
-    exact_dedup, hard_negatives, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc,
+    exact_dedup, hard_negatives, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc, whitening,
 )
 from sagewell.llm.shared import fold, prepare, stored
 from sagewell.sources.tables import table
@@ -297,3 +297,15 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.entries(table(spark, folder, "embeddings"), "vec_id", "embedding", label)
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's coordinate along each of the leading components, one row a component."""
+    rows = whitening.whole_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    model = whitening.fit(rows)
+    explained = F.array(*[F.lit(float(share)) for share in model.explained]).cast("array<double>")
+    return whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"), "whitened", F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"))
