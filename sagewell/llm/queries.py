@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.llm import (
-    exact_dedup, hard_negatives, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc, whitening,
+    cascade, exact_dedup, hard_negatives, katz, langid, mixing, multi_index, ngram_join, pieces, quality, url_lists, warc, whitening,
 )
 from sagewell.llm.shared import fold, prepare, stored
 from sagewell.sources.tables import table
@@ -309,3 +309,48 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
         F.col("deviation").cast("long").alias("deviation"), "whitened", F.get(explained, F.col("at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"))
+
+
+@query("op13_quality_rules", r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+m AS (
+  SELECT doc_id, text, words, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+    len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets,
+    len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{L}'))) AS n_letterless,
+    len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals, len(regexp_extract_all(text, '\p{L}')) AS n_letters,
+    len(regexp_extract_all(text, '[0-9]')) AS n_digits FROM t),
+g AS (
+  SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6),
+    lambda i: array_to_string(words[i:i + 7], ' '))) AS gram FROM m WHERE len(words) >= 8),
+r AS (SELECT doc_id, unnest(range(i, i + 8)) AS spot FROM g
+      QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+n AS (SELECT doc_id, count(DISTINCT spot) AS n_repeat_words FROM r GROUP BY doc_id),
+w AS (SELECT doc_id, max(c) AS top_word FROM (
+      SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(words) AS w FROM m) GROUP BY ALL) GROUP BY doc_id),
+p AS (SELECT doc_id, max(c) AS top_pair FROM (
+      SELECT doc_id, p, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len(words)),
+        lambda i: words[i] || ' ' || words[i + 1])) AS p FROM m) GROUP BY ALL) GROUP BY doc_id),
+a AS (
+  SELECT m.*, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(top_word, 0) AS top_word,
+         coalesce(top_pair, 0) AS top_pair
+  FROM m LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (
+    10 * n_letterless > 4 * n_words OR 10 * top_pair > n_words OR 10 * n_capitals > 4 * n_letters OR 5 * top_word > n_words
+    OR 10 * n_ellipses > 3 * n_lines OR 10 * n_bullets > 9 * n_lines OR 10 * n_dup_lines > 3 * n_lines
+    OR 5 * n_digits > word_chars OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM b
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's base measures and whether it passes the cascade of quality rules."""
+    docs = table(spark, folder, "documents")
+    return cascade.verdicts(docs, cascade.plan(docs)).drop("rejected_by", "rules_run")
