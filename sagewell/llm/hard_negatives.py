@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagewell.llm.shared import partitions_for, stored
+from sagewell.llm.shared import stored
 
 #: At most so many rows of either side meet in a task; fewer where that leaves tasks idle.
 ROWS_PER_BLOCK = 65_536
@@ -133,7 +133,7 @@ def mine(
     if (sizes["largest"] or 0.0) < 2 ** 31:
         rows, asked = (side.withColumn("vector", F.col("vector").cast("array<int>")) for side in (rows, asked))
     anchor_blocks = max(1, -(-asked.count() // rows_per_block))
-    blocks = max(-(-sizes["n"] // rows_per_block), -(-2 * partitions_for(0, 1, spark) // anchor_blocks), 1)
+    blocks = max(-(-sizes["n"] // rows_per_block), -(-2 * spark.sparkContext.defaultParallelism // anchor_blocks), 1)
     dealt = _dealt(rows, "block", blocks, "asked", anchor_blocks)
     keys = ["block", "asked"]
 
