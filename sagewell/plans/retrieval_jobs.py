@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.functions import vocab
+from sagewell.operators import postings as lists
 from sagewell.operators import search as ops
 from sagewell.operators import vectors as vec
 from sagewell.operators.rank import first_per, top_k
@@ -40,6 +41,11 @@ def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return materialized(vec.with_vectors(keyed_chunks(spark, folder).select(*columns), "content"), "chunks")
 
 
+def searchable(spark: SparkSession, folder: str) -> DataFrame:
+    """What lexical retrieval reads of the chunk table."""
+    return materialized(keyed_chunks(spark, folder).select("chunk_id", "search_text"), "search-texts")
+
+
 def site_table(spark: SparkSession, folder: str) -> DataFrame:
     """Site dimension: every nation stands for the site of one source."""
     alias = F.element_at(F.array(*map(F.lit, ALIASES)), F.col("n_regionkey") + 1)
@@ -294,7 +300,8 @@ _side = t.with_chunks("{tail}", f", {QUERIES_SQL}, {CHUNK_SIDE.split('cosines AS
 )
 def l1(spark, folder):
     asked = ops.prepare_queries(questions(spark, folder))
-    found = scan_topk(ops.chunk_terms(keyed_chunks(spark, folder)), asked, 20, lexical="overlap", vectors=False)
+    chunks = searchable(spark, folder)
+    found = lists.token_overlap(asked, chunks, lists.build_postings(chunks), 20)
     return found.select("query_id", "chunk_id", "lexical", F.col("rank").cast("long"))
 
 
@@ -318,9 +325,9 @@ dens AS (SELECT c.qid, c.cid, round(sum(0.1::DOUBLE / (1 + (c.e - c.s) - (f.n -
     ),
 )
 def l2(spark, folder):
-    chunks = ops.chunk_terms(keyed_chunks(spark, folder), least_chars=1)
+    chunks = searchable(spark, folder)
     asked = ops.prepare_queries(questions(spark, folder), least_chars=1)
-    found = scan_topk(chunks, asked, 20, lexical="all_terms", vectors=False)
+    found = lists.all_terms(asked, chunks, lists.build_postings(chunks), 20)
     return found.select(
         "query_id", "chunk_id", F.col("lexical").alias("density"), F.col("rank").cast("long")
     )
