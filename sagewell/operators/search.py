@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sagewell.functions import vocab
 from sagewell.functions.text import contains_any, matching_rules, normalized, search_tokens, words
+from sagewell.operators.cells import VectorLists, search_lists
+from sagewell.operators.postings import Postings, all_terms, token_overlap
 from sagewell.operators.rank import top_k
 from sagewell.operators.scan import LEXICAL_CAP, LEXICAL_STEP, TOKEN_BOOST, scan_ranks, scan_topk
 from sagewell.operators.vectors import with_vectors
@@ -291,13 +293,24 @@ def hybrid_search(
     site_id: str | None = None,
     candidate_mode: str = "per_channel",
     lexical: str = "overlap",
+    postings: Postings | None = None,
+    vector_lists: VectorLists | None = None,
+    probes: int = 8,
+    exact: bool = True,
 ) -> DataFrame:
     """Hits of every query (``query_id, text``) in a chunk table keyed by ``chunk_id``.
 
     ``per_channel`` cuts each channel by its raw score before the boosts; ``all`` ranks every chunk
     by its boosted confidence. ``lexical`` scores words by ``overlap`` or, among chunks that hold all
     query words, by cover density (``all_terms``). Text columns are joined back for candidates only.
+
+    With ``postings`` and ``vector_lists`` of the same chunks (``chunks`` then holds its vectors too) the channels of the
+    ``per_channel`` mode come from these stored tables instead of a scan. ``probes`` cells are read for each query and, if
+    the search is ``exact``, those whose bound says so; the hits are then the scan's. A site needs tables of its own.
     """
+    stored = postings is not None and vector_lists is not None
+    if stored and (candidate_mode != "per_channel" or scoped(chunks, site_id) is not chunks):
+        raise ValueError("stored tables serve the per_channel mode over all chunks they were built from")
     cut = candidate_limit(limit)
     least = 1 if lexical == "all_terms" else 2
     prepared = with_vectors(prepare_queries(queries, rules, least_chars=least), "raw").select(*QUERY_COLUMNS)
@@ -306,14 +319,23 @@ def hybrid_search(
     details = ["chunk_id", "site_id", "title", "section", "category", "content", "source_url", "language",
                "crawled_at", "valid_until"]
     if candidate_mode == "per_channel":
-        found = scan_topk(chunk_vectors(table, least), prepared, cut, lexical=lexical)
+        if stored:
+            found = stored_channels(prepared, table, postings, vector_lists, cut, lexical, probes, exact)
+        else:
+            found = scan_topk(chunk_vectors(table, least), prepared, cut, lexical=lexical)
         pairs = found.groupBy("query_id", "chunk_id").agg(
             F.max("base").alias("base"),
             F.max("lexical").alias("lexical"),
             F.bool_or(F.col("channel") == "vector").alias("in_vector"),
             F.bool_or(F.col("channel") == "lexical").alias("in_lexical"),
         )
-        described = with_site_aliases(with_details(pairs, table, details), sites).join(asked, "query_id")
+        if stored:
+            detailed = with_details(pairs, table, details + ["dims", "weights", "norm"])
+            named = prepared.select("query_id", *[F.col(c).alias(f"q_{c}") for c in ("dims", "weights", "norm")])
+            described = detailed.join(named, "query_id").withColumn("base", F.coalesce("base", cosine()))
+        else:
+            described = with_details(pairs, table, details)
+        described = with_site_aliases(described, sites).join(asked, "query_id")
         hits = fuse_pairs(adjusted(described, profiles, rules, home), cut)
     else:
         ready = chunk_features(chunk_vectors(with_site_aliases(table, sites)), profiles, rules, home)
@@ -323,6 +345,30 @@ def hybrid_search(
     return diversify(hits, limit).select(*HIT_COLUMNS)
 
 
+def cosine() -> Column:
+    """Rounded cosine of the sparse vectors ``dims, weights, norm`` and ``q_dims, q_weights, q_norm`` of one row."""
+    held = F.map_from_arrays("dims", "weights")
+    dot = F.aggregate(
+        F.arrays_zip("q_dims", "q_weights"), F.lit(0.0),
+        lambda total, q: total + F.coalesce(F.try_element_at(held, q["q_dims"]), F.lit(0.0)) * q["q_weights"])
+    return F.round(dot / (F.col("norm") * F.col("q_norm")), DIGITS)
+
+
+def stored_channels(
+    queries: DataFrame, chunks: DataFrame, postings: Postings, lists: VectorLists, cut: int, lexical: str, probes: int,
+    exact: bool,
+) -> DataFrame:
+    """The best ``cut`` chunks of each channel from the stored tables; the cosine of lexical candidates is left open."""
+    near = search_lists(queries, lists, cut, probes=probes, exact=exact)
+    match = all_terms if lexical == "all_terms" else token_overlap
+    worded = match(queries, chunks.select("chunk_id", "search_text"), postings, cut)
+    return near.select(
+        "query_id", F.lit("vector").alias("channel"), "chunk_id", F.col("score").alias("base"),
+        F.lit(None).cast("double").alias("lexical"),
+    ).unionByName(worded.select(
+        "query_id", F.lit("lexical").alias("channel"), "chunk_id", F.lit(None).cast("double").alias("base"), "lexical"))
+
+
 def full_ranks(chunks: DataFrame, queries: DataFrame, cut: int) -> DataFrame:
     """Candidates of the full ranking with their exact rank in each channel they belong to.
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagewell.operators.rank import top_k
 from sagewell.operators.scan import scan_topk
 
 DIMENSIONS = 1536
@@ -89,44 +88,3 @@ def dense_as_sparse(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Exact cosine top ``k`` per query: ``query_id, chunk_id, score, rank``."""
     return scan_topk(chunks, queries, k).select("query_id", "chunk_id", F.col("base").alias("score"), "rank")
-
-
-def list_count(rows: int) -> int:
-    """Number of cells of the approximate index: 1 below 1,000 rows, else rows/1000 up to 100."""
-    return 1 if rows < 1000 else max(1, min(100, rows // 1000))
-
-
-def vector_topk_cells(
-    queries: DataFrame, vectors: DataFrame, k: int, *, lists: int, probes: int, seed: int = 7
-) -> DataFrame:
-    """Approximate cosine top ``k``: KMeans cells, each query probes its nearest cells.
-
-    Both sides carry ``dims, weights, norm`` of equal dense vectors. A vector meets only the queries
-    that probe its cell (equi-join on the cell, cell skew is split by the adaptive join).
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    def ready(df):
-        unit = F.transform("weights", lambda w: w / F.col("norm"))
-        return df.withColumn("unit", unit).withColumn("features", array_to_vector("unit"))
-
-    base = ready(vectors).select("chunk_id", "unit", "features")
-    model = KMeans(k=lists, seed=seed, maxIter=10, predictionCol="cell").fit(base)
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    cells = model.transform(base).select("chunk_id", "unit", "cell")
-    # The centres are at most a hundred literals; each query ranks them inside its own row.
-    literal = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, c)).alias("c")) for i, c in enumerate(centers)])
-
-    def far(unit, c):
-        return F.aggregate(F.zip_with(unit, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-
-    ranked = F.array_sort(
-        F.transform(literal, lambda x: F.struct(far(F.col("unit"), x["c"]).alias("d"), x["cell"].alias("cell")))
-    )
-    probing = ready(queries).select(
-        "query_id", F.col("unit").alias("q"), F.explode(F.slice(ranked, 1, probes)).alias("p")
-    ).select("query_id", "q", "p.cell")
-    dot = F.aggregate(F.zip_with("unit", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = cells.join(probing, "cell").select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.functions import vocab
+from sagewell.operators import cells
 from sagewell.operators import postings as lists
 from sagewell.operators import search as ops
 from sagewell.operators import vectors as vec
@@ -178,11 +179,12 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p
 
 
 def search_sql(
-    tail: str, mode: str = "per_channel", scope: str = "", source: str = BENCHMARK, before: str = "", after: str = ""
+    tail: str, mode: str = "per_channel", scope: str = "", source: str = BENCHMARK, before: str = "", after: str = "",
+    found: str = FOUND,
 ) -> str:
     """A full search over the queries of ``source``; ``before`` and ``after`` are further CTEs."""
     if mode == "per_channel":
-        body = FOUND + ", " + boosts_sql("found", "boosted") + ", " + FUSION
+        body = found + ", " + boosts_sql("found", "boosted") + ", " + FUSION
     else:
         full = boosts_sql("scored", "full_rows")
         both = """
@@ -227,12 +229,59 @@ def v2(spark, folder):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+SAMPLED = "vec_id % 25 = 0"  # the query set of the searches by cell
+
+
+def sampled(spark, folder):
+    """Every 25th vector as a query, against all."""
+    few = table(spark, folder, "embeddings").where(SAMPLED).withColumn("query_id", F.col("vec_id"))
+    return vec.dense_as_sparse(few, "query_id", "embedding")
+
+
+_SAMPLED_SQL = f"""
+unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+cosine AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(q.v, u.v), 6) AS score FROM unit q, unit u WHERE q.{SAMPLED})"""
+_NEAREST_SQL = """SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, score, row_number() OVER w AS rank FROM {source}
+  WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) QUALIFY row_number() OVER w <= 10"""
+
+
+@query("v3_cells_exact", f"WITH {_SAMPLED_SQL} {_NEAREST_SQL.format(source='cosine')}")
+def v3_exact(spark, folder):
+    """Exact top 10 by cells: bounds decide which cells need not be read."""
+    found = cells.search_lists(sampled(spark, folder), cells.build_lists(dense(spark, folder)), 10, probes=4, exact=True)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "v3_cells_given_centres",
+    f"""WITH {_SAMPLED_SQL}, {_CENTERS.strip()},
+centre AS (SELECT label, list(x ORDER BY dim) AS c FROM centers GROUP BY label),
+near AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, c) DESC, label) AS place FROM unit, centre),
+held AS (SELECT DISTINCT label FROM near WHERE place = 1),
+probed AS (SELECT vec_id AS query_id, label FROM near JOIN held USING (label) WHERE vec_id % 25 = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY place) <= 3),
+met AS (SELECT c.* FROM cosine c JOIN probed p ON p.query_id = c.query_id JOIN near n ON n.vec_id = c.vec_id AND n.place = 1 AND n.label = p.label)
+{_NEAREST_SQL.format(source='met')}""",
+)
+def v3_given(spark, folder):
+    """Top 10 of the three nearest of given cells, whose centres are the label means."""
+    means = centroids(spark, folder).orderBy("query_id").select("weights").toPandas()  # one row a label
+    stored = cells.build_lists(dense(spark, folder), centres=list(means["weights"]))
+    found = cells.search_lists(sampled(spark, folder), stored, 10, probes=3)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def half_of(stored: cells.VectorLists) -> int:
+    """Half of the cells; the sample vectors are nearly random in their dimensions, so fewer would miss the recall."""
+    return -(-len(stored.centres) // 2)
+
+
 @query("v3_vector_topk_cells")
 def v3(spark, folder):
     """Approximate top 10 with its recall against the exact one, per query."""
-    vectors, asked = dense(spark, folder), centroids(spark, folder)
-    lists = max(8, vec.list_count(vectors.count()))
-    near = vec.vector_topk_cells(asked, vectors, 10, lists=lists, probes=4)
+    vectors, asked = dense(spark, folder), materialized(centroids(spark, folder), "centroids")
+    stored = cells.build_lists(vectors)
+    near = cells.search_lists(asked, stored, 10, probes=half_of(stored))
     exact = vec.vector_topk(asked, vectors, 10).select("query_id", "chunk_id", F.lit(1).alias("exact"))
     return (
         exact.join(near.select("query_id", "chunk_id", F.lit(1).alias("near")), ["query_id", "chunk_id"], "full")
@@ -305,12 +354,8 @@ def l1(spark, folder):
     return found.select("query_id", "chunk_id", "lexical", F.col("rank").cast("long"))
 
 
-@query(
-    "l2_all_terms",
-    t.with_chunks(
-        """SELECT qid AS query_id, cid AS chunk_id, density, rank FROM (
-             SELECT *, row_number() OVER (PARTITION BY qid ORDER BY density DESC, cid) AS rank FROM dens) WHERE rank <= 20""",
-        f""",
+#: ``dens(qid, cid, density)``: cover density of the chunks that hold every word of a benchmark text.
+DENSITY_SQL = f"""
 q1 AS (SELECT item_id AS id, string_split({t.normalized('text')}, ' ') AS ws FROM benchmark),
 qt AS (SELECT DISTINCT id, unnest(ws) AS term FROM q1),
 qn AS (SELECT id, count(*) AS n FROM qt GROUP BY id),
@@ -321,7 +366,15 @@ o2 AS (SELECT o.* FROM occ o JOIN full_match f ON f.qid = o.qid AND f.cid = o.ci
 lasts AS (SELECT e.qid, e.cid, e.p AS e, s.term, max(s.p) AS lp FROM o2 e JOIN o2 s ON s.qid = e.qid AND s.cid = e.cid AND s.p <= e.p GROUP BY 1, 2, 3, 4),
 spans AS (SELECT l.qid, l.cid, l.e, min(l.lp) AS s FROM lasts l JOIN full_match f ON f.qid = l.qid AND f.cid = l.cid GROUP BY 1, 2, 3 HAVING count(*) = max(f.n)),
 covers AS (SELECT qid, cid, s, min(e) AS e FROM spans GROUP BY 1, 2, 3),
-dens AS (SELECT c.qid, c.cid, round(sum(0.1::DOUBLE / (1 + (c.e - c.s) - (f.n - 1))), 9) AS density FROM covers c JOIN full_match f ON f.qid = c.qid AND f.cid = c.cid GROUP BY 1, 2)""",
+dens AS (SELECT c.qid, c.cid, round(sum(0.1::DOUBLE / (1 + (c.e - c.s) - (f.n - 1))), 9) AS density FROM covers c JOIN full_match f ON f.qid = c.qid AND f.cid = c.cid GROUP BY 1, 2)"""
+
+
+@query(
+    "l2_all_terms",
+    t.with_chunks(
+        """SELECT qid AS query_id, cid AS chunk_id, density, rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY qid ORDER BY density DESC, cid) AS rank FROM dens) WHERE rank <= 20""",
+        f",{DENSITY_SQL}",
     ),
 )
 def l2(spark, folder):
@@ -412,12 +465,16 @@ def o6(spark, folder):
     return found.groupBy("query_id", "channel").agg(F.count("*").alias("candidates"))
 
 
-def _hits(spark, folder, **options):
+def _hits_of(spark, folder, chunks, **options):
     return ops.hybrid_search(
-        questions(spark, folder), stored_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME, **options
+        questions(spark, folder), chunks, site_table(spark, folder), profiles=PROFILES, home=HOME, **options
     )
 
 
+def _hits(spark, folder, **options):
+    return _hits_of(spark, folder, stored_chunks(spark, folder), **options)
+
+
 _HIT_SQL = "SELECT qid AS query_id, rank, cid AS chunk_id, category, source_url, score, fusion_score FROM hits"
 
 
@@ -437,6 +494,57 @@ def f6_all(spark, folder):
     return _hit_view(_hits(spark, folder, candidate_mode="all"))
 
 
+def indexed(spark, folder):
+    """The chunk table with its inverted table and its vector lists, as a deployment stores them."""
+    chunks = stored_chunks(spark, folder)
+    return chunks, lists.build_postings(chunks.select("chunk_id", "search_text")), cells.build_lists(
+        chunks.select("chunk_id", "dims", "weights", "norm"))
+
+
+def _indexed_hits(spark, folder, tables, **options):
+    chunks, postings, vector_lists = tables
+    return ops.hybrid_search(
+        questions(spark, folder), chunks, site_table(spark, folder), profiles=PROFILES, home=HOME, postings=postings,
+        vector_lists=vector_lists, **options)
+
+
+@query("f6_hybrid_search_index", search_sql(_HIT_SQL))
+def f6_index(spark, folder):
+    """The hits of the scan from the stored tables: cells are read until their bounds say that none is missed."""
+    return _hit_view(_indexed_hits(spark, folder, indexed(spark, folder)))
+
+
+_density_channel = FOUND.replace("FROM scored WHERE lexical > 0", "FROM (SELECT s.* REPLACE (d.density AS lexical) FROM scored s JOIN dens d USING (qid, cid))")
+
+
+@query(
+    "f6_hybrid_search_all_terms",
+    search_sql(_HIT_SQL, found=f"{DENSITY_SQL},{_density_channel}"),
+)
+def f6_all_terms(spark, folder):
+    """The stored mode: words match if a chunk holds all of them, ranked by cover density."""
+    return _hit_view(_indexed_hits(spark, folder, indexed(spark, folder), lexical="all_terms"))
+
+
+@query("f6_hybrid_search_cells")
+def f6_cells(spark, folder):
+    """Hits from a fixed number of cells, with the share of the exact vector channel and of the exact hits found."""
+    chunks, postings, vector_lists = tables = indexed(spark, folder)
+    asked = _prepared(spark, folder)
+    probes = half_of(vector_lists)
+    cut = ops.candidate_limit(5)
+
+    def share(near, exact, name):
+        both = exact.join(near.select("query_id", "chunk_id", F.lit(1).alias("near")), ["query_id", "chunk_id"], "left")
+        return both.groupBy("query_id").agg((F.count("near") / F.count("*")).alias(name))
+
+    near = cells.search_lists(asked, vector_lists, cut, probes=probes)
+    channel = share(near, cells.search_lists(asked, vector_lists, cut, probes=probes, exact=True), "channel_recall")
+    hits = materialized(_indexed_hits(spark, folder, tables, probes=probes, exact=False), "hits")
+    exact = materialized(_hits_of(spark, folder, chunks), "exact-hits")
+    return _hit_view(hits).join(share(hits, exact, "hit_recall"), "query_id").join(channel, "query_id")
+
+
 @query("f6_hybrid_search_site", search_sql(_HIT_SQL, scope="WHERE site_id = 'src3'"))
 def f6_site(spark, folder):
     return _hit_view(_hits(spark, folder, site_id="src3"))
