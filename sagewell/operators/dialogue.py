@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sagewell.functions import vocab
 from sagewell.functions.text import collapse, contains_any, first_rule, strip, words
-from sagewell.operators.history import gap_segments, ordered_fold, previous_rows
+from sagewell.operators.history import previous_rows
+from sagewell.operators.slices import SLICE_ROWS, Fold, fold_slices
 
 KEEP_TURNS = 4
 MEMORY_TTL = 1800
@@ -175,29 +176,33 @@ def memory_step(state: MemoryState, now: float, text: str, follows: bool, anchor
     return query, source, remembered
 
 
-def rewrite_with_memory(requests: DataFrame, *, ttl: int = MEMORY_TTL, keep: int = KEEP_TURNS) -> DataFrame:
+def _remembered(kept: list) -> MemoryState:
+    state = MemoryState()
+    state.turns.extend((seconds, query) for seconds, query in kept)
+    return state
+
+
+def rewrite_with_memory(
+    requests: DataFrame, *, ttl: int = MEMORY_TTL, keep: int = KEEP_TURNS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Chained rewriting: a follow-up extends the already rewritten query of the turn before.
 
-    ``requests``: ``conversation_id, seconds, request_no, text``. Conversations fall apart where the
-    memory has expired, so a long one is folded in several tasks; each fold streams its rows.
+    ``requests``: ``conversation_id, seconds, request_no, text``. A long conversation is folded in slices; a slice is
+    folded again only if the turns remembered at its start were not what it assumed.
     """
     flagged = requests.withColumn("follows", is_follow_up(F.col("text"))).withColumn(
         "anchored", contains_any(F.lower("text"), vocab.ANCHORS)
     )
-    cut = gap_segments(flagged, ["conversation_id"], "seconds", ttl)
-
-    def step(state, row):
-        return memory_step(state, row.seconds, row.text, row.follows, row.anchored, ttl, keep)
-
-    folded = ordered_fold(
-        cut,
-        ["conversation_id", "segment"],
-        ["seconds", "request_no"],
+    fold = Fold(
         MemoryState,
-        step,
-        "search_query string, rewrite_source string, remembered long",
+        lambda state, row: memory_step(state, row.seconds, row.text, row.follows, row.anchored, ttl, keep),
+        lambda state: [list(turn) for turn in state.turns],
+        _remembered,
     )
-    return folded.drop("segment", "follows", "anchored")
+    folded = fold_slices(
+        flagged, ["conversation_id"], ["seconds", "request_no"], fold,
+        "search_query string, rewrite_source string, remembered long", slice_rows=slice_rows)
+    return folded.drop("follows", "anchored")
 
 
 def expand_retry(df: DataFrame, *, brand: str = vocab.BRAND_PHRASE) -> DataFrame:

@@ -1,7 +1,7 @@
 """Per-key state on event time: rate limiting, conversation memory and answer memo.
 
-Each job exists twice over the same step function: a batch fold (keys cut at quiet gaps, so a busy
-key is spread over tasks) and a stream on ``transformWithStateInPandas``. Streams process the rows of
+Each job exists twice over the same step function: a batch fold (in slices that carry their state, so a
+busy key is spread over tasks) and a stream on ``transformWithStateInPandas``. Streams process the rows of
 a micro-batch in event order; rows later than the watermark are dropped by the engine, rows that are
 late but inside the watermark are judged when they arrive.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sagewell.functions import vocab
 from sagewell.functions.text import contains_any
 from sagewell.operators.dialogue import KEEP_TURNS, MEMORY_TTL, MemoryState, is_follow_up, memory_step
-from sagewell.operators.history import gap_segments, ordered_fold
+from sagewell.operators.slices import SLICE_ROWS, Fold, expiry_begins, fold_slices
 
 MICROS = 1_000_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,31 +56,30 @@ def memo_step(written: list, now: int, ttl: int) -> bool:
 # --- batch -----------------------------------------------------------------------------------
 
 
-def rate_limit(calls: DataFrame, keys: list[str], *, limit: int, window_s: int, order: str = "event_id") -> DataFrame:
+def rate_limit(
+    calls: DataFrame, keys: list[str], *, limit: int, window_s: int, order: str = "event_id", slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """``calls`` (with ``ts`` and a unique ``order`` column) plus ``accepted``."""
     timed = calls.withColumn("at", micros())
     if limit <= 0 or window_s <= 0:
         return timed.drop("at").withColumn("accepted", F.lit(True))
     window = window_s * MICROS
-    cut = gap_segments(timed, keys, "at", window)
-
-    def step(state, row):
-        return (rate_step(state, row.at, limit, window),)
+    fold = Fold(deque, lambda state, row: (rate_step(state, row.at, limit, window),), list, deque)
+    return fold_slices(timed, keys, ["at", order], fold, "accepted boolean", slice_rows=slice_rows).drop("at")
 
-    folded = ordered_fold(cut, [*keys, "segment"], ["at", order], deque, step, "accepted boolean")
-    return folded.drop("at", "segment")
 
-
-def label_memo(calls: DataFrame, keys: list[str], *, ttl_s: int, order: str = "event_id") -> DataFrame:
+def label_memo(
+    calls: DataFrame, keys: list[str], *, ttl_s: int, order: str = "event_id", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """``calls`` plus ``memo_hit``: whether an earlier, unexpired answer of the same key exists."""
     ttl = ttl_s * MICROS
-    cut = gap_segments(calls.withColumn("at", micros()), keys, "at", ttl)
-
-    def step(state, row):
-        return (memo_step(state, row.at, ttl),)
-
-    folded = ordered_fold(cut, [*keys, "segment"], ["at", order], list, step, "memo_hit boolean")
-    return folded.drop("at", "segment")
+    timed = calls.withColumn("at", micros())
+    if ttl <= 0:
+        return timed.drop("at").withColumn("memo_hit", F.lit(False))
+    fold = Fold(list, lambda state, row: (memo_step(state, row.at, ttl),), list, list)
+    return fold_slices(
+        timed, keys, ["at", order], fold, "memo_hit boolean", slice_rows=slice_rows,
+        begins=lambda rows: expiry_begins(rows, keys, "at", ttl)).drop("at")
 
 
 # --- streams ---------------------------------------------------------------------------------
