@@ -84,7 +84,7 @@ def _fact_sql(pattern: str, group: int = 0) -> str:
 
 
 _price_sql = r"(?:^|[^\pL\pN_])(\d{1,3}(?:[.,]\d{3})+(?:\s?VNĐ|\s?vnđ|\s?VND)?)"
-_offer = "text || ' Save ' || (5 + doc_id % 60) || '% until ' || (1 + doc_id % 28) || '/5/2026 - 30/6/2026. Costs ' || (1 + doc_id % 900) || '.000 VND'"
+_offer = "text || ' Giảm ' || (5 + doc_id % 60) || '% và x' || (1 + doc_id % 5) || ' ưu đãi, ' || (1 + doc_id % 28) || '/5/2026 - 30/6/2026. Costs ' || (1 + doc_id % 900) || '.000 VND'"
 
 
 @query(
@@ -96,7 +96,7 @@ def p22(spark, folder):
     """Prices, discounts and date windows; each document gets an offer sentence derived from its id."""
     number = F.col("doc_id")
     offer = F.concat(
-        F.col("text"), F.lit(" Save "), (5 + number % 60).cast("string"), F.lit("% until "),
+        F.col("text"), F.lit(" Giảm "), (5 + number % 60).cast("string"), F.lit("% và x"), (1 + number % 5).cast("string"), F.lit(" ưu đãi, "),
         (1 + number % 28).cast("string"), F.lit("/5/2026 - 30/6/2026. Costs "), (1 + number % 900).cast("string"),
         F.lit(".000 VND"),
     )
@@ -136,12 +136,19 @@ def p1(spark, folder):
     return scoped(document_chunks(spark, folder), "src3").groupBy("category").agg(F.count("*").alias("chunks"))
 
 
-@query("p2_optional_scope", t.with_chunks("SELECT category, count(*) AS chunks FROM chunks GROUP BY category"))
+@query(
+    "p2_optional_scope",
+    t.with_chunks("""SELECT wanted, category, count(*) AS chunks FROM chunks JOIN (VALUES (NULL), ('src3')) w(wanted)
+        ON wanted IS NULL OR site_id = wanted GROUP BY 1, 2"""),
+)
 def p2(spark, folder):
-    """A null parameter switches the filter off; it folds away in the plan."""
-    wanted = F.lit(None).cast("string")
-    chunks = document_chunks(spark, folder).filter(wanted.isNull() | (F.col("site_id") == wanted))
-    return chunks.groupBy("category").agg(F.count("*").alias("chunks"))
+    """The same filter with a null parameter, which switches it off and folds away in the plan, and with a site."""
+    def scope(site):
+        wanted = F.lit(site).cast("string")
+        chunks = document_chunks(spark, folder).filter(wanted.isNull() | (F.col("site_id") == wanted))
+        return chunks.groupBy(wanted.alias("wanted"), "category").agg(F.count("*").alias("chunks"))
+
+    return scope(None).unionByName(scope("src3"))
 
 
 # --- sinks -----------------------------------------------------------------------------------

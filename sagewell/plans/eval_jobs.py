@@ -292,14 +292,18 @@ def a9(spark, folder):
     return summary.withColumn("skip_reasons", F.array_join(pairs, ","))
 
 
-def frontier_log(spark, folder, budget=60):
-    """Crawl on from the first page of every host, with all page URLs known from the site map."""
+#: Pages that each host's crawl job may read beyond its first one.
+PAGES_PER_JOB = 12
+
+
+def frontier_log(spark, folder):
+    """Every host is a crawl job with a budget of its own: from its first page on, all page URLs known from the site map."""
     pages = raw_pages(spark, folder)
     entry = pages.groupBy(u.site_key(F.col("url")).alias("site_id")).agg(F.min("page_id").alias("page_id")).select("page_id")
     start = pages.join(entry, "page_id", "left_semi")
     found = pg.merge_candidates(pg.page_links(start), pages.select("url"), SEED)
     visited = start.select(u.canonical_url(F.col("url")).alias("url"))
-    return frontier.expand_frontier(found, pages, visited, budget=budget, **POLICY)
+    return frontier.expand_frontier(found, pages, visited, budget=PAGES_PER_JOB, job=u.site_key, **POLICY)
 
 
 _WAVE = f"""{LINKS},
@@ -308,14 +312,15 @@ open_urls AS (SELECT DISTINCT url FROM (SELECT l.url FROM link_rows l JOIN entry
   WHERE url NOT IN (SELECT source FROM page_urls p JOIN entry e ON e.page_id = p.page_id WHERE source IS NOT NULL)
     AND {reason_sql('url', POLICY['allowed_domains'], POLICY['exclude_patterns'])} IS NULL),
 ordered AS (SELECT url, category, CASE category {_rank} ELSE 99 END AS r, url IN (SELECT source FROM page_urls WHERE source IS NOT NULL) AS scraped FROM (SELECT url, {category_sql('url')} AS category FROM open_urls)),
-counted AS (SELECT *, sum(CAST(scraped AS INTEGER)) OVER (ORDER BY r, url) AS paid FROM ordered),
-first_wave AS (SELECT url, category, scraped FROM counted WHERE paid < 60 OR (paid = 60 AND scraped)),
+counted AS (SELECT *, sum(CAST(scraped AS INTEGER)) OVER (PARTITION BY job ORDER BY r, url) AS paid FROM (SELECT *, {t.slug(t.host('url'))} AS job FROM ordered)),
+first_wave AS (SELECT url, category, scraped, job FROM counted WHERE paid < {PAGES_PER_JOB} OR (paid = {PAGES_PER_JOB} AND scraped)),
+spent AS (SELECT job FROM first_wave GROUP BY job HAVING count(*) FILTER (scraped) >= {PAGES_PER_JOB}),
 fresh AS (SELECT DISTINCT l.url FROM link_rows l JOIN page_urls p ON p.page_id = l.page_id JOIN first_wave g ON g.url = p.source AND g.scraped
   WHERE l.pos > 0 AND l.url NOT IN (SELECT url FROM open_urls)
     AND l.url NOT IN (SELECT source FROM page_urls p2 JOIN entry e ON e.page_id = p2.page_id WHERE source IS NOT NULL)
     AND {reason_sql('l.url', POLICY['allowed_domains'], POLICY['exclude_patterns'])} IS NULL
-    AND (SELECT count(*) FROM first_wave WHERE scraped) < 60),
-log AS (SELECT CAST(0 AS BIGINT) AS wave, * FROM first_wave
+    AND {t.slug(t.host('l.url'))} NOT IN (SELECT job FROM spent)),
+log AS (SELECT CAST(0 AS BIGINT) AS wave, url, category, scraped FROM first_wave
   -- every stored page is listed, so links found later lead nowhere: all of them fail in a second wave
   UNION ALL SELECT 1, url, {category_sql('url')}, FALSE FROM fresh)"""
 
