@@ -113,7 +113,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from ``(lang, text)`` rows; rows with a null in either, or no letter, teach nothing.
+    """Learn from ``(lang, text)`` rows; rows with a null in either, or an empty language, teach nothing.
 
     The table that reaches the driver has at most ``SLOTS`` rows per language, whatever the input.
     """
@@ -141,7 +141,9 @@ def fit(labelled: DataFrame) -> Model:
             weights[:, bit] = odds
             # How far apart the two sides are, in nats per n-gram: a bit that tells little weighs little.
             bits[bit] = ((positive - negative) * odds).sum()
-    return Model(languages, code, weights, bits / bits.sum())
+    # Languages of equal texts leave no bit that tells them apart; then all bits weigh alike and every answer is a tie.
+    told = bits.sum()
+    return Model(languages, code, weights, bits / told if told > 0 else np.full(len(bits), 1 / max(1, len(bits))))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

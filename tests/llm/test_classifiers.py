@@ -66,3 +66,10 @@ def test_quality_of_odd_texts_and_without_labels(spark):
 def test_pooling_is_isotonic():
     knots, values = quality.pooled(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.array([1.0, 1, 1, 2]))
     assert values.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [1.0, 2.5, 4.0]
+
+
+def test_languages_of_equal_texts_are_an_ambiguous_tie(spark):
+    rows = [(i, "de" if i % 2 else "en", "the same words in both languages") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = langid.identify(docs, langid.fit(docs.select("lang", "text"))).collect()
+    assert {(r.lang_pred, r.score, r.ambiguous) for r in found} == {("de", 0.5, True)}
