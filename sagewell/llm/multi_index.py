@@ -122,15 +122,19 @@ def search(
     """The ``k`` nearest of each query found: query_id, rank, vec_id, score.
 
     ``queries`` has vec_id and vector; an entry with the query's id is no candidate. A query walks cells until
-    they hold ``visit`` of all entries, and at least four times ``k``. Ties go to the smaller vec_id. Cells of
-    any size are cut into blocks, so one common vector does not gather in a task.
+    they hold ``visit`` of all distinct vectors, and at least four times ``k``. Ties go to the smaller vec_id. Cells of
+    any size are cut into blocks, so one common vector does not gather in a task. Rows of one id are one candidate, with
+    the best of its scores, and one query, whose vector is the smallest of them.
     """
     spark = index.sparkSession
-    cells = index.groupBy("one", "two").agg(F.count("*").alias("n")).toPandas()
-    held = np.zeros((len(book.first), len(book.second)), dtype=np.int64)
-    held[cells["one"], cells["two"]] = cells["n"]
+    # Copies of a vector are found together, so they count once on the way; blocks are cut by rows.
+    cells = index.groupBy("one", "two", F.xxhash64("vector").alias("key")).agg(F.count("*").alias("n")).groupBy("one", "two").agg(
+        F.count("*").alias("distinct"), F.sum("n").alias("n")).toPandas()
+    held, rows = (np.zeros((len(book.first), len(book.second)), dtype=np.int64) for _ in range(2))
+    held[cells["one"], cells["two"]], rows[cells["one"], cells["two"]] = cells["distinct"], cells["n"]
     wanted = max(int(np.ceil(visit * held.sum())), 4 * k)
-    blocks = np.maximum(1, -(-held.sum(axis=1) // entries_per_block))
+    blocks = np.maximum(1, -(-rows.sum(axis=1) // entries_per_block))
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     query_blocks = max(1, -(-queries.count() // queries_per_block))
     shared = spark.sparkContext.broadcast((book, held, wanted, blocks))
     probes = pa.schema([
@@ -155,8 +159,11 @@ def search(
     def rank(key, entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(entries) and len(asked):
+            # Copies of a row are dropped, so that the best k of a block are distinct.
+            entries = entries.assign(key=entries["vector"].map(lambda v: v.tobytes())).drop_duplicates(["vec_id", "key"])
             entries = entries.sort_values("vec_id")
             x, ids, cell = np.vstack(entries["vector"]), entries["vec_id"].to_numpy(), entries["two"].to_numpy()
+            most = int(np.unique(ids, return_counts=True)[1].max())
             for start in range(0, len(asked), 256):
                 some = asked.iloc[start: start + 256]
                 passed = np.zeros((len(some), cell.max() + 1), dtype=bool)
@@ -167,11 +174,14 @@ def search(
                 score[~passed[:, cell] | own] = -np.inf
                 for row, query_id in enumerate(some["query_id"]):
                     s = score[row]
-                    floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    # Rows of one id, at most ``most`` here, must not take the place of other ids.
+                    take = k * most
+                    floor = np.partition(s, len(s) - take)[len(s) - take] if len(s) > take else -np.inf
                     at = np.flatnonzero((s > -np.inf) & (s >= floor - 1e-9))
                     # Summed row by row, equal vectors get equal scores, so ties are real ties.
                     exact = (x[at] * some["vector"].iloc[row]).sum(axis=1)
-                    best = np.argsort(-exact, kind="stable")[:k]
+                    best = np.argsort(-exact, kind="stable")
+                    best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])][:k]
                     found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[best]], "score": exact[best]}))
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return pd.concat(found) if found else empty
@@ -185,7 +195,7 @@ def search(
         F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("queries"))
     keys = ["one", "block", "queries"]
     near = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        rank, "query_id long, vec_id long, score double")
+        rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -51,3 +51,26 @@ def test_few_candidates_and_empty_table(spark):
     x, vectors = table(spark)
     assert {q: len(r) for q, r in find(vectors.where("vec_id < 5")).items()} == {0: 4}
     assert multi_index.fit(multi_index.usable(vectors.limit(0), "vec_id", "embedding")) is None
+
+
+def test_repeated_ids_are_one_candidate_and_one_query(spark):
+    x, vectors = table(spark, 200, 1)
+    again = vectors.where("vec_id in (0, 3, 7) and block = 0")
+    other = spark.createDataFrame([(5, [9.0] * 16, 0, 0), (20, [-9.0] * 16, 0, 0)], SCHEMA)
+    found = find(vectors.unionByName(again).unionByName(again).unionByName(other), visit=1.0, entries_per_block=30)
+    for query, rows in found.items():
+        ask = x[query] if query != 20 else np.minimum(x[20], -9.0) * 0 - 9.0
+        score = (x * ask).sum(axis=1)
+        score[5], score[20] = max(score[5], 9.0 * ask.sum()), max(score[20], -9.0 * ask.sum())
+        order = [int(i) for i in np.lexsort((np.arange(200), -score)) if i != query][:20]
+        assert [rows[r][0] for r in range(1, 21)] == order, query
+
+
+def test_recall_with_a_hot_vector(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype("float32")
+    x[600:] = x[600]
+    vectors = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(x)], SCHEMA)
+    x = x.astype(float)
+    hit = sum(len(set(exact(x, q, 20)[0]) & {v for v, _ in rows.values()}) for q, rows in find(vectors).items())
+    assert hit / (20 * 45) >= 0.9
