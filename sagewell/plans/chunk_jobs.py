@@ -316,30 +316,32 @@ def a8(spark, folder):
     return rollups.context_size(docs, "source", "text", "score")
 
 
-def _job_events(spark, folder):
+def job_events(events):
     """The event log as crawl-job events: ``signup`` creates, every type updates its own field."""
     kind = F.when(F.col("event_type") == "signup", "create").otherwise("update")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), F.col("event_type").alias("status"),
         F.col("event_type").alias("key"), F.get_json_object("props", "$.k").alias("value"),
     )
 
 
-@query(
-    "a10_job_state",
-    """WITH e AS (SELECT user_id AS job_id, ts, event_id, event_type, props ->> '$.k' AS v FROM events),
+JOB_SQL = """WITH e AS (SELECT user_id AS job_id, ts, event_id, event_type, props ->> '$.k' AS v FROM events),
        started AS (SELECT job_id, max((ts, event_id)) AS at FROM e WHERE event_type = 'signup' GROUP BY 1),
        live AS (SELECT e.* FROM e JOIN started s ON s.job_id = e.job_id WHERE (e.ts, e.event_id) >= s.at),
        keyed AS (SELECT job_id, event_type, max_by(v, (ts, event_id)) AS v FROM live GROUP BY 1, 2)
        SELECT l.job_id, max_by(l.event_type, (l.ts, l.event_id)) AS status, CAST(max(l.ts) AS VARCHAR) AS updated_at,
          (SELECT string_agg(k.event_type || '=' || k.v, ',' ORDER BY k.event_type) FROM keyed k WHERE k.job_id = l.job_id) AS fields
-       FROM live l GROUP BY l.job_id""",
-)
-def a10(spark, folder):
+       FROM live l GROUP BY l.job_id"""
+
+
+def job_rows(jobs):
     pairs = F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return rollups.fold_jobs(_job_events(spark, folder)).select(
-        "job_id", "status", F.col("updated_at").cast("string"), F.array_join(pairs, ",").alias("fields")
-    )
+    return jobs.select("job_id", "status", F.col("updated_at").cast("string"), F.array_join(pairs, ",").alias("fields"))
+
+
+@query("a10_job_state", JOB_SQL)
+def a10(spark, folder):
+    return job_rows(rollups.fold_jobs(job_events(table(spark, folder, "events"))))
 
 
 @query(

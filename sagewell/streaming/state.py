@@ -198,6 +198,57 @@ class ConversationMemory(StatefulProcessor):
         pass
 
 
+class JobState(StatefulProcessor):
+    """Map state: the latest value of each field of a job, and when the job was last created.
+
+    Merging takes the later of two events, so the order of arrival inside the watermark does not matter. Fields of a job
+    nobody created are held back until the job shows up or the state expires, which it does ``idle`` after the latest
+    event; updates after that meet an unknown job and are ignored.
+    """
+
+    def __init__(self, idle: int, key_names: list[str]):
+        self.idle, self.key_names = idle, key_names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fields = handle.getMapState("fields", "field string", "at long, event_id long, value string, status string")
+        self.created = handle.getValueState("created", "at long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest: dict = {}
+        created = tuple(self.created.get()) if self.created.exists() else None
+        before = created
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                at = (int(row.at), int(row.event_id))
+                if row.key not in latest or at > latest[row.key][:2]:
+                    latest[row.key] = (*at, row.value, row.status)
+                if row.kind == "create" and (created is None or at > created):
+                    created = at
+        for field, found in latest.items():
+            if not self.fields.containsKey((field,)) or found[:2] > tuple(self.fields.getValue((field,)))[:2]:
+                self.fields.updateValue((field,), found)
+        if created != before:
+            self.created.update(created)
+        held = {field[0]: tuple(value) for field, value in self.fields.iterator()}
+        set_timer(self.handle, (max(value[0] for value in held.values()) + self.idle) // 1000 + 1)
+        live = {field: value for field, value in held.items() if created and value[:2] >= created}
+        if live:
+            names = sorted(live)
+            last = max(live.values(), key=lambda value: value[:2])
+            yield pd.DataFrame({
+                **{n: [k] for n, k in zip(self.key_names, key)}, "status": [last[3]], "updated": [last[0]],
+                "names": [names], "held": [[live[n][2] for n in names]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.fields.clear()
+        self.created.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def _ready(stream: DataFrame, delay: str) -> DataFrame:
     """Event time with zone (UTC) for the watermark, and microseconds for the steps."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -220,6 +271,22 @@ def stream_rate_limit(calls: DataFrame, key: str, *, limit: int, window_s: int,
     )
 
 
+def stream_jobs(events: DataFrame, key: str, *, idle_s: int, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``rollups.fold_jobs`` (update mode): the current state of each job that an event changed."""
+    return (
+        _ready(events, delay)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            JobState(idle_s * MICROS, [key]),
+            outputStructType=f"{key} long, status string, updated long, names array<string>, held array<string>",
+            outputMode="Update",
+            timeMode="EventTime",
+        )
+        .select(key, "status", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, updated / 1000000.0BD)").alias("updated_at"),
+                F.map_from_arrays("names", "held").alias("fields"))
+    )
+
+
 def stream_memo(calls: DataFrame, keys: dict[str, str], *, ttl_s: int, delay: str = "1 hour") -> DataFrame:
     """Streaming twin of ``label_memo``; ``keys`` maps key columns to their types."""
     columns = ", ".join(f"{name} {kind}" for name, kind in keys.items())

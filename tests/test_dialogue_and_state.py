@@ -1,11 +1,12 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagewell.functions import vocab
-from sagewell.operators import answers, dialogue, evals, history
+from sagewell.operators import answers, dialogue, evals, history, rollups
 from sagewell.streaming import ingest, state
 
 
@@ -152,3 +153,38 @@ def test_answer_memo_batch_and_stream_agree(spark, event_files):
     assert {r["event_id"]: r["memo_hit"] for r in batch.collect()} == expected
     stream = ingest.drain_to_files(state.stream_memo(stream_of(spark, folder), {"user_id": "long"}, ttl_s=50), "t3")
     assert {r["event_id"]: r["memo_hit"] for r in stream.collect()} == expected
+
+
+EVENT = "job_id long, ts timestamp_ntz, event_id long, kind string, status string, key string, value string"
+
+
+def test_job_state_stream_equals_the_fold(spark, tmp_path):
+    """Events out of order within a file, an update ahead of its job, jobs created anew, and one never created."""
+    rng = random.Random(5)
+    start = datetime(2026, 1, 1)
+    rows = []
+    for i in range(240):
+        kind = "create" if rng.random() < 0.1 else "update"
+        job = rng.randrange(6)
+        rows.append((job, start + timedelta(minutes=i + rng.randrange(-20, 20)), i, "update" if job == 5 else kind,
+                     rng.choice(["queued", "running", "done"]), rng.choice("abc"), rng.choice(["1", "2", None])))
+    for part in range(3):
+        spark.createDataFrame(rows[part * 80: part * 80 + 80], EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    jobs = ingest.drain_updates(state.stream_jobs(stream, "job_id", idle_s=86_400), ["job_id"], "jobs-test")
+    as_rows = lambda frame: {r.job_id: (r.status, r.updated_at, r.fields) for r in frame.collect()}
+    expected = as_rows(rollups.fold_jobs(spark.createDataFrame(rows, EVENT)))
+    assert as_rows(jobs) == expected and sorted(expected) == [0, 1, 2, 3, 4]
+
+
+def test_idle_jobs_are_forgotten(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    rows = [(1, start, 0, "create", "queued", "a", "1"), (2, start + timedelta(days=3), 1, "create", "queued", "a", "1"),
+            (2, start + timedelta(days=3, minutes=1), 2, "update", "running", "a", "2"),
+            (1, start + timedelta(days=3, minutes=2), 3, "update", "done", "b", "2")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = ingest.drain_updates(state.stream_jobs(stream, "job_id", idle_s=3600), ["job_id"], "jobs-test").collect()
+    # The second job's events move the clock on, so the update of the first meets an unknown job.
+    assert {r.job_id: (r.status, r.fields) for r in found} == {1: ("queued", {"a": "1"}), 2: ("running", {"a": "2"})}
