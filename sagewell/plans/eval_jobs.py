@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sagewell.functions import urls as u
 from sagewell.functions import vocab
+from sagewell.functions.text import normalized
 from sagewell.operators import dialogue as dl
 from sagewell.operators import evals as ops
 from sagewell.operators import frontier, rollups
@@ -228,9 +229,96 @@ def j10(spark, folder):
 
 @query("j7_best_user_turn")
 def j7(spark, folder):
-    return ops.best_user_turns(transcript_cases(spark, folder), spoken_turns(spark, folder)).withColumn(
-        "similarity", F.round("similarity", 3)
-    )
+    """The best user turn for every case by matching blocks, with its Levenshtein ratio beside."""
+    found = ops.best_user_turns(spoken_cases(spark, folder), spoken_turns(spark, folder))
+    return found.withColumn("similarity", F.round("similarity", 3)).withColumn("edit_ratio", F.round("edit_ratio", 3))
+
+
+def spoken_cases(spark, folder):
+    """One case a conversation: its first user turn with a few letters changed."""
+    users = table(spark, folder, "conversations").filter("role = 'user'")
+    return users.groupBy(F.col("conv_id").alias("case_id")).agg(F.min_by("text", "turn").alias("text")).select(
+        "case_id", F.replace(F.col("text"), F.lit("en"), F.lit("em")).alias("expected"))
+
+
+def _plain(frame, column):
+    """Accent-free words: letters that every engine counts alike."""
+    return frame.withColumn(column, normalized(F.col(column)))
+
+
+def _match_sql(golden: str, plain: str, ratio: str, floor: str) -> str:
+    """CTE ``best(conv_id, case_id, turn, similarity, edit_ratio)``: every case against every user turn."""
+    return f"""
+golden AS ({golden}),
+heard AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, {plain} AS said FROM (SELECT *, text AS raw FROM conversations WHERE lower(trim(role)) = 'user')),
+asked AS (SELECT case_id, {plain} AS said FROM (SELECT *, expected AS raw FROM golden)),
+scored AS (SELECT h.conv_id, a.case_id, h.turn, {ratio} AS edit_ratio,
+  CASE WHEN contains(h.said, a.said) OR contains(a.said, h.said) THEN 1.0::DOUBLE ELSE {ratio} END AS similarity FROM heard h, asked a),
+best AS (SELECT * FROM scored WHERE similarity >= {floor} QUALIFY row_number() OVER (PARTITION BY conv_id, case_id ORDER BY similarity DESC, turn) = 1)"""
+
+
+_PER_CONVERSATION = "SELECT conv_id AS case_id, replace(min_by(text, turn), 'en', 'em') AS expected FROM conversations WHERE role = 'user' GROUP BY 1"
+_PER_LENGTH = """SELECT CAST(floor(log2(length(text))) AS BIGINT) AS case_id, replace(min(text), 'en', 'em') AS expected
+  FROM conversations WHERE role = 'user' GROUP BY 1"""
+_LONGER = "greatest(length(h.said), length(a.said))"
+_EDIT_RATIO = f"CASE WHEN {_LONGER} = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(h.said, a.said)::DOUBLE / {_LONGER} END"
+
+
+@query(
+    "j7_contained_turns",
+    f"WITH {_match_sql(_PER_CONVERSATION, t.collapse('lower(raw)'), '0', '1')} SELECT conv_id, case_id, turn FROM best",
+)
+def j7_contained(spark, folder):
+    """The first user turn that holds a case's text or is held by it."""
+    found = ops.best_user_turns(spoken_cases(spark, folder), spoken_turns(spark, folder), floor=1.0)
+    return found.select("conv_id", "case_id", "turn")
+
+
+@query(
+    "j7_levenshtein_turns",
+    f"""WITH {_match_sql(_PER_CONVERSATION, t.normalized('raw'), _EDIT_RATIO, '0.72')}
+SELECT conv_id, case_id, round(similarity, 6) AS similarity, turn, round(edit_ratio, 6) AS edit_ratio FROM best""",
+)
+def j7_edits(spark, folder):
+    """The best user turn by Levenshtein ratio, through the same candidates as the matching-blocks ratio."""
+    cases, turns = _plain(spoken_cases(spark, folder), "expected"), _plain(spoken_turns(spark, folder), "message")
+    found = ops.best_user_turns(cases, turns, measure="edits")
+    return found.withColumn("similarity", F.round("similarity", 6)).withColumn("edit_ratio", F.round("edit_ratio", 6))
+
+
+_QUOTE = "chr(39)"
+
+
+@query(
+    "e4_transcript_scoring_edits",
+    f"""WITH {_match_sql(_PER_LENGTH, t.normalized('raw'), _EDIT_RATIO, '0.72')},
+said_by AS (SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN 'user' ELSE 'agent' END AS who, {t.normalized('text')} AS message
+  FROM conversations WHERE lower(trim(role)) IN ('user', 'agent', 'assistant', 'ai')),
+until AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM said_by WHERE who = 'user'),
+told AS (SELECT u.conv_id, u.turn, string_agg(s.message, chr(10) ORDER BY s.turn) AS answer FROM until u JOIN said_by s
+  ON s.conv_id = u.conv_id AND s.who = 'agent' AND s.turn > u.turn AND (u.next IS NULL OR s.turn < u.next) GROUP BY 1, 2),
+used AS (SELECT c.conv_id, g.case_id, count(*) AS calls, count(*) FILTER (length(c.text) % 50 = 0) AS failed FROM conversations c JOIN golden g
+  ON c.role = 'assistant' AND (g.case_id % 3 <> 0 OR c.turn % 4 = 1) GROUP BY 1, 2),
+judged AS (
+  SELECT v.conv_id, g.case_id, b.similarity, b.edit_ratio, b.turn AS matched_turn, coalesce(o.answer, '') AS answer,
+    coalesce(u.calls, 0) AS calls, coalesce(u.failed, 0) AS failed
+  FROM (SELECT DISTINCT conv_id FROM said_by) v CROSS JOIN golden g LEFT JOIN best b ON b.conv_id = v.conv_id AND b.case_id = g.case_id
+    LEFT JOIN told o ON o.conv_id = b.conv_id AND o.turn = b.turn LEFT JOIN used u ON u.conv_id = v.conv_id AND u.case_id = g.case_id),
+listed AS (SELECT *, list_filter([
+    CASE WHEN similarity IS NULL THEN 'missing user turn' END, CASE WHEN similarity IS NOT NULL AND answer = '' THEN 'missing agent answer' END,
+    CASE WHEN NOT contains(lower(answer), 'e') THEN 'missing substring=' || {_QUOTE} || 'e' || {_QUOTE} END,
+    CASE WHEN contains(lower(answer), 'zzz') THEN 'forbidden substring=' || {_QUOTE} || 'zzz' || {_QUOTE} END,
+    CASE WHEN case_id % 2 = 0 AND calls = 0 THEN 'missing tool call=' || CASE WHEN case_id % 3 = 0 THEN {_QUOTE} || 'search_kb' || {_QUOTE} ELSE 'None' END END,
+    CASE WHEN failed > 0 THEN 'tool result error' END], lambda e: e IS NOT NULL) AS wrong FROM judged)
+SELECT conv_id, case_id, round(similarity, 3) AS similarity, round(edit_ratio, 3) AS edit_ratio, matched_turn, calls AS tool_calls, calls AS tool_results,
+  array_to_string(wrong, '; ') AS errors, len(wrong) = 0 AS passed FROM listed""",
+)
+def e4_edits(spark, folder):
+    """Transcript scoring with the Levenshtein ratio in place of matching blocks."""
+    cases, turns = _plain(transcript_cases(spark, folder), "expected"), _plain(spoken_turns(spark, folder), "message")
+    tools = ops.tool_rows(stored_transcripts(spark, folder), dialogue_flow.TRANSCRIPT)
+    scored = ops.score_transcripts(cases, turns, tools, measure="edits")
+    return scored.withColumn("errors", F.array_join("errors", "; "))
 
 
 @query("e4_transcript_scoring")
