@@ -131,17 +131,20 @@ def context_size(hits: DataFrame, key: str, text: str, score: str) -> DataFrame:
     )
 
 
-def crawl_summary(pages: DataFrame, selection: DataFrame) -> DataFrame:
+def crawl_summary(pages: DataFrame, selection: DataFrame, credits: DataFrame) -> DataFrame:
     """Per crawl: pages seen, crawled, failed, credits, and URL counts with skip reasons.
 
-    ``pages``: ``crawl_id, canonical_url, failed``; ``selection``: ``crawl_id, skip_reason``. URL
+    ``pages``: ``crawl_id, canonical_url, failed, scraped`` (read one by one after the crawl, which costs a credit each);
+    ``selection``: ``crawl_id, skip_reason``; ``credits``: ``crawl_id, credits_used`` of the stored crawl results. URL
     lists stay rows (``select_urls``) because a crawl's candidates have no bound.
     """
     seen = pages.groupBy("crawl_id").agg(
         F.count("*").alias("pages_seen"),
         F.count_if(~F.col("failed")).alias("pages_crawled"),
         F.count_if("failed").alias("pages_failed"),
+        F.count_if(F.col("scraped") & ~F.col("failed")).alias("_scraped"),
     )
+    spent = credits.groupBy("crawl_id").agg(F.sum("credits_used").alias("_spent"))
     reasons = selection.groupBy("crawl_id", "skip_reason").agg(F.count("*").alias("n"))
     urls = reasons.groupBy("crawl_id").agg(
         F.sum("n").alias("candidate_urls"),
@@ -152,7 +155,8 @@ def crawl_summary(pages: DataFrame, selection: DataFrame) -> DataFrame:
             )
         ).alias("skip_reasons"),
     )
-    return seen.join(urls, "crawl_id", "left").withColumn("credits_used", F.col("pages_crawled"))
+    return seen.join(urls, "crawl_id", "left").join(spent, "crawl_id", "left").withColumn(
+        "credits_used", F.coalesce("_spent", F.lit(0)) + F.col("_scraped")).drop("_spent", "_scraped")
 
 
 def fold_jobs(events: DataFrame) -> DataFrame:

@@ -421,15 +421,20 @@ def retrieval_summary(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def deduplicated_search(queries: DataFrame, search) -> DataFrame:
     """Run one search per distinct normalised question and join the hits back.
 
-    ``queries`` needs ``query_id, text``; the question is case-folded with blanks collapsed.
+    ``queries`` needs ``query_id, text``; the question is case-folded with blanks collapsed. Where ``queries`` has a
+    ``site_id`` or a ``doc_set_hash``, equal questions are one only within a site and a state of its documents, and
+    ``search`` gets these columns too.
     """
     from sagewell.functions.text import collapse
 
-    keyed = queries.withColumn("question_key", collapse(F.lower("text")))
-    distinct = keyed.groupBy("question_key").agg(F.min(F.struct("query_id", "text")).alias("q")).select(
-        F.col("q.query_id").alias("query_id"), F.col("q.text").alias("text"), "question_key"
+    scope = [name for name in ("site_id", "doc_set_hash") if name in queries.columns]
+    # Null is a value of a scope like any other, so the key is one string that tells null and text apart.
+    key = F.to_json(F.array(collapse(F.lower("text")), *[F.col(name).cast("string") for name in scope]))
+    keyed = queries.withColumn("question_key", key)
+    distinct = keyed.groupBy("question_key").agg(F.min(F.struct("query_id", "text", *scope)).alias("q")).select(
+        "q.*", "question_key"
     )
-    hits = search(distinct.select("query_id", "text"))
+    hits = search(distinct.select("query_id", "text", *scope))
     answered = distinct.select("question_key", F.col("query_id").alias("asked_id"))
     return (
         keyed.select("query_id", "question_key")

@@ -5,20 +5,27 @@ two pairs of its own text and one of the other, so texts with matching-blocks ra
 at least ``(1.5 f - 1) S + 1`` pairs, and texts with Levenshtein ratio ``f`` and greater length ``L`` at least
 ``(2 f - 1) L + 1``. Sorted by rarity, two such texts meet in the pairs left after taking that many, less one, off the
 frequent end of each; a contained text meets the other in its rarest inner pair. No match is lost, and texts that
-share none of these pairs are never compared.
+share none of these pairs are never compared. Blocks of texts meet as matrices, so that shared pairs never become rows.
+At a ratio as low as 0.72 the bound is weak; the longest common subsequence, counted in bit sets, then bounds both
+ratios and leaves few texts to the exact ones.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagewell.session import materialized
 
+#: Texts of either side that meet in one task, and letter pairs whose frequency every task knows.
+TEXTS, RANKED = 1_024, 50_000
 START, END = "\u0002", "\u0003"
 
 
@@ -34,46 +41,121 @@ def _pairs_of(texts: DataFrame) -> DataFrame:
         "key", "size", "inner", F.concat("gram", F.lit("#"), F.col("no").cast("string")).alias("token"))
 
 
-def _by_rarity(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
-    order = W.partitionBy("key").orderBy("df", "token")
-    return tokens.join(frequency, "token").withColumn("place", F.row_number().over(order))
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """``left_key, right_key`` of every two texts (``key, text``, distinct) that may reach ``floor`` or hold each other."""
+def _dealt(side: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+    """Texts with their own block, once for every block of the other side."""
+    return side.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(own_blocks))).withColumn(
+        other, F.explode(F.expr(f"sequence(0L, {other_blocks - 1}L)")))
+
+
+class _Heads:
+    """Texts of a block as a matrix of the letter pairs at their rare end."""
+
+    def __init__(self, texts: list[str], rank: dict[str, int], least: float):
+        self.sizes = np.array([len(t) for t in texts])
+        kept = []
+        for text in texts:
+            marked = START + text + END
+            seen: Counter = Counter()
+            tokens = []
+            for i in range(len(marked) - 1):
+                seen[marked[i: i + 2]] += 1
+                tokens.append(f"{marked[i: i + 2]}#{seen[marked[i: i + 2]]}")
+            # Pairs without a rank are the rarest; among themselves any order that all texts share will do.
+            tokens.sort(key=lambda t: (rank.get(t, -1), t))
+            kept.append(tokens[: len(text) + 1 - math.ceil(round(least * len(text), 9))])
+        self.tokens = kept
+
+    def matrix(self, place: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(self.tokens), len(place)), dtype=np.float32)
+        for row, tokens in enumerate(self.tokens):
+            out[row, [place[t] for t in tokens if t in place]] = 1.0
+        return out
+
+
+def common_letters(masks: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence of ``text`` and the text of ``masks``, a bit set of places a letter."""
+    full = (1 << size) - 1
+    open_ = full
+    for letter in text:
+        hit = open_ & masks.get(letter, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return size - open_.bit_count()
+
+
+def _places(text: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for i, letter in enumerate(text):
+        masks[letter] = masks.get(letter, 0) | 1 << i
+    return masks
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, floor: float, measure: str = "blocks") -> DataFrame:
+    """``left_text, right_text`` of every two distinct texts (``key, text``) that may reach ``floor`` or hold each other; a
+    pair may come twice."""
     if floor <= 2 / 3:
         raise ValueError("below two thirds, texts may match without sharing a pair of letters")
     sides = [_pairs_of(side) for side in (left, right)]
     both = sides[0].select("token").unionByName(sides[1].select("token"))
     frequency = materialized(both.groupBy("token").agg(F.count("*").alias("df")), "pair-frequency")
-    placed = [materialized(_by_rarity(side, frequency), "letter-pairs") for side in sides]
-    # Least share of common pairs per letter, over all lengths a partner may have.
-    least = F.ceil(F.round((1.5 * floor - 1) * 2 / (2 - floor) * F.col("size"), 9)) + 1
-    heads = [side.where(F.col("place") <= F.col("size") + 2 - least) for side in placed]
-
-    def named(side: DataFrame, name: str) -> DataFrame:
-        return side.select("token", F.col("key").alias(f"{name}_key"), F.col("size").alias(f"{name}_size"))
-
-    one, two = F.col("left_size"), F.col("right_size")
-    alike = named(heads[0], "left").join(named(heads[1], "right"), "token").where(
-        F.round(F.least(one, two) * (2 - floor) - F.greatest(one, two) * floor, 9) >= 0)
-
-    def holding(short: DataFrame, name: str, long: DataFrame, other: str) -> DataFrame:
-        rarest = short.where("inner").groupBy("key", "size").agg(F.min_by("token", "place").alias("token"))
-        return named(rarest, name).join(named(long, other), "token").where(F.col(f"{name}_size") <= F.col(f"{other}_size"))
-
-    def tiny(short: DataFrame, name: str, long: DataFrame, other: str) -> DataFrame:
+    common = frequency.orderBy(F.desc("df"), "token").limit(RANKED).collect()
+    rank = {r["token"]: RANKED - i for i, r in enumerate(common)}
+    # Least share of common pairs for each letter, over all lengths a partner may have.
+    least = 2 * floor - 1 if measure == "edits" else (1.5 * floor - 1) * 2 / (2 - floor)
+    reach = 1 / floor if measure == "edits" else (2 - floor) / floor
+    counts = [side.count() for side in (left, right)]
+    shared = left.sparkSession.sparkContext.broadcast(rank)
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    blocks = [max(1, -(-n // TEXTS)) for n in counts]
+    blocks[1] = max(blocks[1], min(-(-4 * cores // blocks[0]), max(1, counts[1] // 64)))
+    # Blocks are small in bytes and long in work: a fixed number of partitions keeps them from being put together.
+    parts = min(blocks[0] * blocks[1], 8 * cores)
+    out = pa.schema([("left_text", pa.string()), ("right_text", pa.string())])
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        mine, theirs = one["text"].to_pylist(), two["text"].to_pylist()
+        found: list = [[], []]
+        if mine and theirs:
+            heads, others = _Heads(mine, shared.value, least), _Heads(theirs, shared.value, least)
+            # Only pairs of letters that both sides have can be shared.
+            place = {t: i for i, t in enumerate(sorted({t for x in heads.tokens for t in x} & {t for x in others.tokens for t in x}))}
+            alike = heads.matrix(place) @ others.matrix(place).T > 0 if place else np.zeros((len(mine), len(theirs)), bool)
+            a, b = heads.sizes[:, None], others.sizes[None, :]
+            alike &= np.maximum(a, b) <= reach * np.minimum(a, b) + 1e-9
+            # Matching blocks, and the letters that no edit touches, are a common subsequence.
+            enough = floor * (np.maximum(a, b) if measure == "edits" else (a + b) / 2) - 1e-9
+            for i in np.flatnonzero(alike.any(axis=1)):
+                masks, size = _places(mine[i]), len(mine[i])
+                for j in np.flatnonzero(alike[i]):
+                    if common_letters(masks, size, theirs[j]) >= enough[i, j]:
+                        found[0].append(mine[i])
+                        found[1].append(theirs[j])
+        return pa.Table.from_arrays([pa.array(f, pa.string()) for f in found], schema=out)
+
+    keys = ["left_block", "right_block"]
+    one = _dealt(left.select("key", "text"), keys[0], blocks[0], keys[1], blocks[1])
+    two = _dealt(right.select("key", "text"), keys[1], blocks[1], keys[0], blocks[0])
+    one, two = (side.repartition(parts, *keys) for side in (one, two))
+    alike = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(
+        lambda here, there: meet(here, there), "left_text string, right_text string")
+
+    def holding(short: DataFrame, pairs: DataFrame, long: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+        """Texts met by the rarest inner pair of a text that they may hold, checked at once."""
+        rarest = pairs.where("inner").join(frequency, "token").groupBy("key").agg(F.min(F.struct("df", "token")).alias("first"))
+        held = rarest.select("key", "first.token").join(short, "key").select("token", F.col("text").alias(names[0]))
+        all_pairs = other.select("token", "key").join(long, "key").select("token", F.col("text").alias(names[1]))
+        return held.join(all_pairs, "token").where(F.col(names[1]).contains(F.col(names[0]))).select("left_text", "right_text")
+
+    def tiny(short: DataFrame, long: DataFrame, names: list[str]) -> DataFrame:
         # Texts of no or one letter have no inner pair; being distinct they are as few as there are letters.
-        few = short.where(F.length("text") <= 1).select(F.col("key").alias(f"{name}_key"), F.col("text").alias("piece"))
-        return few.join(long.select(F.col("key").alias(f"{other}_key"), "text"), F.col("text").contains(F.col("piece")))
+        few = short.where(F.length("text") <= 1).select(F.col("text").alias(names[0]))
+        return few.join(long.select(F.col("text").alias(names[1])), F.col(names[1]).contains(F.col(names[0]))).select(
+            "left_text", "right_text")
 
-    keys = ["left_key", "right_key"]
-    found = [alike, holding(placed[0], "left", placed[1], "right"), holding(placed[1], "right", placed[0], "left"),
-             tiny(left, "left", right, "right"), tiny(right, "right", left, "left")]
-    pairs = found[0].select(*keys)
-    for more in found[1:]:
-        pairs = pairs.unionByName(more.select(*keys))
-    return pairs.distinct()
+    ways, back = ["left_text", "right_text"], ["right_text", "left_text"]
+    for more in (holding(left, sides[0], right, sides[1], ways), holding(right, sides[1], left, sides[0], back),
+                 tiny(left, right, ways), tiny(right, left, back)):
+        alike = alike.unionByName(more)
+    return alike
 
 
 def edit_ratio(distance: Column, one: str, two: str) -> Column:
@@ -89,19 +171,12 @@ def similar_texts(left: DataFrame, right: DataFrame, floor: float, measure: str
     """
     sides = [materialized(side.select("text").where("text IS NOT NULL").distinct().withColumn("key", F.sha2("text", 256)), "texts")
              for side in (left, right)]
-    pairs = candidate_pairs(*sides, floor)
-    rows = pairs.join(sides[0].select(F.col("key").alias("left_key"), F.col("text").alias("left_text")), "left_key").join(
-        sides[1].select(F.col("key").alias("right_key"), F.col("text").alias("right_text")), "right_key")
+    rows = candidate_pairs(*sides, floor, measure)
     held = F.col("left_text").contains(F.col("right_text")) | F.col("right_text").contains(F.col("left_text"))
-    rows = rows.select("left_text", "right_text", held.alias("held"), F.levenshtein("left_text", "right_text").alias("edits"))
-    rows = rows.withColumn("edit_ratio", edit_ratio(F.col("edits"), "left_text", "right_text"))
-    if measure == "edits":
-        scored = rows.withColumn("similarity", F.when(F.col("held"), 1.0).otherwise(F.col("edit_ratio")))
-    else:
-        # Letters outside the blocks can be deleted and inserted, so there are at least as many as edits.
-        letters = F.length("left_text") + F.length("right_text")
-        scored = rows.where(F.col("held") | (F.col("edits") <= F.round((1 - floor) * letters, 9))).withColumn(
-            "similarity", F.when(F.col("held"), 1.0).otherwise(_blocks_ratio(floor)("left_text", "right_text")))
+    rows = materialized(rows.distinct(), "near-texts")
+    edits = edit_ratio(F.levenshtein("left_text", "right_text"), "left_text", "right_text")
+    ratio = F.col("edit_ratio") if measure == "edits" else _blocks_ratio(floor)("left_text", "right_text")
+    scored = rows.withColumn("edit_ratio", edits).withColumn("similarity", F.when(held, 1.0).otherwise(ratio))
     return scored.where(F.col("similarity") >= floor).select("left_text", "right_text", "similarity", "edit_ratio")
 
 

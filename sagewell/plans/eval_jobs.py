@@ -362,20 +362,26 @@ def e7(spark, folder):
 @query(
     "a9_crawl_summary",
     f"""WITH {LINKS}, hosts AS (SELECT page_id, {t.slug('host')} AS crawl_id, source, row_number() OVER (PARTITION BY source ORDER BY page_id) AS rn FROM page_urls),
-        seen AS (SELECT crawl_id, count(*) AS pages_seen, count(*) FILTER (rn = 1) AS pages_crawled, count(*) FILTER (rn > 1) AS pages_failed FROM hosts GROUP BY 1),
+        seen AS (SELECT crawl_id, count(*) AS pages_seen, count(*) FILTER (rn = 1) AS pages_crawled, count(*) FILTER (rn > 1) AS pages_failed,
+          count(*) FILTER (rn = 1 AND page_id % 4 = 3) + CAST(sum(CASE WHEN page_id % 4 <> 3 THEN 1 + page_id % 3 ELSE 0 END) AS BIGINT) AS credits_used FROM hosts GROUP BY 1),
         reasons AS (SELECT {t.slug(t.host('url'))} AS crawl_id, {reason_sql('url', POLICY['allowed_domains'], POLICY['exclude_patterns'])} AS reason, count(*) AS n FROM first_links GROUP BY 1, 2)
-        SELECT s.*, s.pages_crawled AS credits_used, r.candidate_urls, r.selected_urls, r.skip_reasons FROM seen s LEFT JOIN (
+        SELECT s.*, r.candidate_urls, r.selected_urls, r.skip_reasons FROM seen s LEFT JOIN (
           SELECT crawl_id, CAST(sum(n) AS BIGINT) AS candidate_urls, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS selected_urls,
             coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS skip_reasons FROM reasons GROUP BY 1) r ON r.crawl_id = s.crawl_id""",
 )
 def a9(spark, folder):
-    """One crawl per host; a page whose canonical URL was seen before counts as failed."""
+    """One crawl per host; a page whose canonical URL was seen before counts as failed.
+
+    Every fourth page was read one by one after the crawl; the crawl results of the others state one to three credits.
+    """
     pages = raw_pages(spark, folder)
     keyed = pages.select("page_id", u.site_key(F.col("url")).alias("crawl_id"), u.canonical_url(F.col("url")).alias("canonical_url"))
     first = pg.canonical_pages(pages.select("page_id", "url")).select("page_id", F.lit(False).alias("failed"))
-    seen = keyed.join(first, "page_id", "left").withColumn("failed", F.coalesce("failed", F.lit(True)))
+    scraped = F.col("page_id") % 4 == 3
+    seen = keyed.join(first, "page_id", "left").withColumn("failed", F.coalesce("failed", F.lit(True))).withColumn("scraped", scraped)
+    credits = keyed.where(~scraped).select("crawl_id", (1 + F.col("page_id") % 3).alias("credits_used"))
     chosen = pg.admit_urls(pg.page_links(pages), **POLICY).withColumn("crawl_id", u.site_key(F.col("url")))
-    summary = rollups.crawl_summary(seen, chosen)
+    summary = rollups.crawl_summary(seen, chosen, credits)
     pairs = F.transform(F.map_entries("skip_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return summary.withColumn("skip_reasons", F.array_join(pairs, ","))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sagewell.functions import vocab
 from sagewell.operators import cells
 from sagewell.operators import postings as lists
+from sagewell.operators import rollups
 from sagewell.operators import search as ops
 from sagewell.operators import vectors as vec
 from sagewell.operators.rank import first_per, top_k
@@ -594,13 +595,17 @@ def q15(spark, folder):
     twice = asked.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(
         asked.select((F.col("query_id") * 2 + 1).alias("query_id"), F.concat(F.lit("  "), shouted).alias("text"))
     )
+    chunks = stored_chunks(spark, folder)
+    # One row: the state of the documents that the answers are found in.
+    state = rollups.doc_set_hash(chunks.select(F.col("chunk_id").alias("content_hash"))).first()["doc_set_hash"]
+    scoped = twice.withColumn("site_id", F.lit(None).cast("string")).withColumn("doc_set_hash", F.lit(state))
 
     def search(distinct):
         return ops.hybrid_search(
-            distinct, stored_chunks(spark, folder), site_table(spark, folder), profiles=PROFILES, home=HOME
+            distinct.select("query_id", "text"), chunks, site_table(spark, folder), profiles=PROFILES, home=HOME
         )
 
-    return ops.deduplicated_search(twice, search).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
+    return ops.deduplicated_search(scoped, search).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
 
 
 @query(

@@ -35,6 +35,13 @@ def read_crawl_results(spark: SparkSession, path: str, *, lines: bool = False) -
     return pages_of(spark.read.schema(ENVELOPE).json(path, multiLine=not lines).select("data"))
 
 
+def read_crawl_totals(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """What every stored part of a crawl says of itself: ``status, total, completed, credits_used`` and its file."""
+    parts = spark.read.schema(ENVELOPE).json(path, multiLine=not lines)
+    return parts.select("status", "total", "completed", F.coalesce("creditsUsed", F.lit(0)).alias("credits_used"),
+                        F.input_file_name().alias("file"))
+
+
 def read_single_pages(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Pages stored one by one, wrapped in ``data`` or bare."""
     return pages_of(_single_pages(spark.read.schema(SINGLE).json(path, multiLine=not lines)))

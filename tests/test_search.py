@@ -163,3 +163,18 @@ def test_search_is_the_same_beyond_its_bounds(spark, monkeypatch):
     monkeypatch.setattr(scan, "MAX_QUERIES", 4)
     monkeypatch.setattr(scan, "CELLS", 500)
     assert {mode: hits(mode) for mode in usual} == usual
+
+
+def test_equal_questions_are_searched_once_a_site_and_state(spark):
+    asked = spark.createDataFrame(
+        [(1, "Opening  hours", "a", "h1"), (2, "opening hours", "a", "h1"), (3, "opening hours", "b", "h1"), (4, "opening hours", "a", "h2"),
+         (5, "opening hours", None, "h1"), (6, " OPENING hours ", None, "h1")], "query_id long, text string, site_id string, doc_set_hash string")
+    seen = []
+
+    def ask(distinct):
+        seen.extend(tuple(r) for r in distinct.select("query_id", "site_id", "doc_set_hash").collect())
+        return distinct.select("query_id", F.concat_ws("/", "site_id", "doc_set_hash").alias("hit"))
+
+    found = {r.query_id: r.hit for r in search.deduplicated_search(asked, ask).collect()}
+    assert sorted(seen, key=str) == [(1, "a", "h1"), (3, "b", "h1"), (4, "a", "h2"), (5, None, "h1")]
+    assert found == {1: "a/h1", 2: "a/h1", 3: "b/h1", 4: "a/h2", 5: "h1", 6: "h1"}
