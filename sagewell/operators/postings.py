@@ -143,6 +143,9 @@ def _phrase_only(queries: DataFrame, postings: Postings) -> DataFrame:
     inner = F.filter(F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0))), lambda w: F.length(w) >= 2)
     short = queries.where((F.size("terms").between(1, 2)) & (F.size(inner) == 0)).select(
         "query_id", F.element_at(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"].alias("anchor"))
+    short = materialized(short, "short-queries")
+    if short.isEmpty():
+        return short.select("query_id", F.lit(0).cast("long").alias("chunk"))
     suffixes = postings.terms.where(F.length("term") >= 2).select("term", "shard", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr("term", i))).alias("suffix"))
     holding = suffixes.withColumn("start", F.left("suffix", F.lit(2))).join(
