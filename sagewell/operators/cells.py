@@ -206,6 +206,10 @@ def _scored(queries: DataFrame, lists: VectorLists, probes: DataFrame, k: int) -
                     found.append(pa.table([[query_id] * len(at), ids[at].tolist(), score[at]], schema=out))
         return pa.concat_tables(found)
 
+    # Groups are long in work for their bytes: a fixed number of partitions keeps them from being put together.
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows, sides = (side.repartition(parts, *keys) for side in (rows, sides))
     return rows.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(
         lambda held, some: best(held, some), "query_id long, chunk_id string, score double")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagewell.session import scratch_folder
-from sagewell.sources.sinks import append_new
+from sagewell.sources.batches import append_batch
 
 
 #: Files are taken up to this size a micro-batch, so that a backlog does not become one batch.
@@ -45,14 +45,15 @@ def ingest_stream(
 ):
     """Start the ingest: new pages become chunks, and only absent chunks are appended to ``target``.
 
-    The column pipeline is the batch one; a repeated batch appends nothing.
+    The column pipeline is the batch one. A batch looks its keys up in the partitions it touches, counts once it is
+    committed, and appends nothing when it is repeated; ``batches.read_batches`` reads the table.
     """
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
         columns = ["site_id", "source_url", "title", "section", "category", "content", "content_hash",
                    "language", "crawled_at", "valid_until", "search_text", "page_id", "section_no", "chunk_no"]
         order = [F.asc("page_id"), F.asc("section_no"), F.asc("chunk_no")]
-        append_new(batch.sparkSession, target, to_chunks(batch).select(*columns), list(keys), order)
+        append_batch(batch.sparkSession, target, to_chunks(batch).select(*columns), list(keys), order, batch_id)
 
     return (
         pages.writeStream.foreachBatch(store)
