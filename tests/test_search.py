@@ -178,3 +178,33 @@ def test_equal_questions_are_searched_once_a_site_and_state(spark):
     found = {r.query_id: r.hit for r in search.deduplicated_search(asked, ask).collect()}
     assert sorted(seen, key=str) == [(1, "a", "h1"), (3, "b", "h1"), (4, "a", "h2"), (5, None, "h1")]
     assert found == {1: "a/h1", 2: "a/h1", 3: "b/h1", 4: "a/h2", 5: "h1", 6: "h1"}
+
+
+def test_scan_embeds_texts_as_stored_vectors(spark):
+    from sagewell.operators.scan import scan_topk
+
+    rng = random.Random(4)
+    words = [f"w{int(rng.random() ** 2 * 90)}" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(300)] + ["", None, "Lone", "w1 w1 w1"]
+    chunks = spark.createDataFrame([(f"c{i:03d}", t, t) for i, t in enumerate(texts)], "chunk_id string, content string, search_text string")
+    asked = spark.createDataFrame(
+        [(q, " ".join(rng.choices(words, k=rng.randint(1, 9)))) for q in [1, 1, 2, 3, 4]] + [(None, "w1 w2"), (9, None)], "query_id long, text string")
+    prepared = search.prepare_queries(asked)
+    stored = with_vectors(chunks, "content")
+
+    def found(table, lexical):
+        rows = scan_topk(search.chunk_vectors(table), search.asked_vectors(prepared, table), 7, lexical=lexical)
+        return sorted((tuple(r) for r in rows.drop("rank").collect()), key=str)
+
+    for lexical in (None, "overlap", "all_terms"):
+        assert found(chunks, lexical) == found(stored, lexical) != []
+
+
+def test_vectors_leave_a_task_in_small_batches(monkeypatch):
+    from sagewell.operators import vectors
+
+    monkeypatch.setattr(vectors, "TEXTS", 4)
+    monkeypatch.setattr(vectors, "LETTERS", 10)
+    texts = ["a" * 3, None, "", "b" * 9, "c" * 30, "d", "e", "f", "g", "h"]
+    parts = list(vectors._slices(texts, 0))
+    assert [at for at, _ in parts] == [0, 3, 4, 5, 9] and sum(n for _, n in parts) == len(texts)
