@@ -97,7 +97,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, floor: float, measure: st
     sides = [_pairs_of(side) for side in (left, right)]
     both = sides[0].select("token").unionByName(sides[1].select("token"))
     frequency = materialized(both.groupBy("token").agg(F.count("*").alias("df")), "pair-frequency")
-    common = frequency.orderBy(F.desc("df"), "token").limit(RANKED).collect()
+    # Written first: a collected order would bring the first ``RANKED`` tokens of every task to the driver.
+    common = materialized(frequency.orderBy(F.desc("df"), "token").limit(RANKED), "common-pairs").collect()
+    common.sort(key=lambda r: (-r["df"], r["token"].encode("utf-8")))
     rank = {r["token"]: RANKED - i for i, r in enumerate(common)}
     # Least share of common pairs for each letter, over all lengths a partner may have.
     least = 2 * floor - 1 if measure == "edits" else (1.5 * floor - 1) * 2 / (2 - floor)
@@ -140,14 +142,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame, floor: float, measure: st
 
     def holding(short: DataFrame, pairs: DataFrame, long: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
         """Texts met by the rarest inner pair of a text that they may hold, checked at once."""
-        rarest = pairs.where("inner").join(frequency, "token").groupBy("key").agg(F.min(F.struct("df", "token")).alias("first"))
-        held = rarest.select("key", "first.token").join(short, "key").select("token", F.col("text").alias(names[0]))
-        all_pairs = other.select("token", "key").join(long, "key").select("token", F.col("text").alias(names[1]))
-        return held.join(all_pairs, "token").where(F.col(names[1]).contains(F.col(names[0]))).select("left_text", "right_text")
+        # Merge joins: a side that is small as a file may be large as the map that a broadcast builds on the driver.
+        rarest = pairs.where("inner").join(frequency.hint("merge"), "token").groupBy("key").agg(F.min(F.struct("df", "token")).alias("first"))
+        held = rarest.select("key", "first.token").join(short.hint("merge"), "key").select("token", F.col("text").alias(names[0]))
+        all_pairs = other.select("token", "key").join(long.hint("merge"), "key").select("token", F.col("text").alias(names[1]))
+        return held.hint("merge").join(all_pairs, "token").where(F.col(names[1]).contains(F.col(names[0]))).select("left_text", "right_text")
 
     def tiny(short: DataFrame, long: DataFrame, names: list[str]) -> DataFrame:
         # Texts of no or one letter have no inner pair; being distinct they are as few as there are letters.
-        few = short.where(F.length("text") <= 1).select(F.col("text").alias(names[0]))
+        few = F.broadcast(short.where(F.length("text") <= 1).select(F.col("text").alias(names[0])))
         return few.join(long.select(F.col("text").alias(names[1])), F.col(names[1]).contains(F.col(names[0]))).select(
             "left_text", "right_text")
 

@@ -74,3 +74,11 @@ def test_best_turn_prefers_the_better_and_then_the_earlier(spark):
         [(5, 0, "user", "opening hour?"), (5, 2, "user", "the opening hours today"), (5, 4, "user", "opening hours"), (5, 1, "agent", "opening hours"),
          (6, 0, "user", "bye")], "conv_id long, turn long, role string, message string")
     assert [(r.conv_id, r.case_id, r.similarity, r.turn) for r in evals.best_user_turns(cases, turns).collect()] == [(5, 1, 1.0, 2)]
+
+
+def test_no_side_of_the_join_becomes_a_map_on_the_driver(spark):
+    rows = [(str(i), f"text number {i} of a few") for i in range(20)]
+    left, right = (spark.createDataFrame(rows, "key string, text string") for _ in range(2))
+    plan = similar.candidate_pairs(left, right, 1.0)._jdf.queryExecution().executedPlan().toString()
+    # Only texts of at most one letter are broadcast, of which there are no more than letters.
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == 2
