@@ -2,11 +2,14 @@
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sagewell.functions import text as tx
 from sagewell.operators import chunks as ops
-from sagewell.operators.embedding import Embedder
+from sagewell.operators import scan
+from sagewell.operators.embedding import Embedder, norms
 
 BLANKS = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -44,3 +47,26 @@ def test_a_remembered_token_takes_a_third_of_its_room():
     assert (embedder.counts(["one two three", "two", None, ""]) == first).all()
     room = embedder.slots.nbytes + embedder.signs.nbytes
     assert room <= 2 * 40 * len(embedder.place) and len(embedder.slots) >= len(embedder.place)
+
+
+def test_a_scan_rounds_only_pairs_that_may_be_among_the_best(monkeypatch):
+    rng = np.random.default_rng(2)
+    draw = lambda n, size: [" ".join(f"w{int(w)}" for w in rng.integers(0, 400, size) ** 2 // 400) for _ in range(n)]
+    texts, asked = draw(3000, 40) + ["w3 w4"] * 9 + [""], draw(40, 6) + ["w3 w4", "w4", "", "w3 w4"]
+    names = [f"{'longprefix' if i % 2 else ''}{i % 2900:05d}" for i in range(len(texts))]
+    chunks = pd.DataFrame({"chunk_id": names, "vector_text": texts, "search_text": texts})
+    rows = [{"query_id": q, "vector_text": t, "normalized": t, "terms": sorted(set(t.split()))} for q, t in enumerate(asked)]
+    rounded, plain = [], np.round
+    monkeypatch.setattr(scan.np, "round", lambda x, *rest, **named: (rounded.append(np.size(x)), plain(x, *rest, **named))[1])
+    task = scan._topk_task(scan._Group(rows, "overlap", False, True, True), 5, {"vector": "base", "lexical": "lexical"})
+    found = pd.concat(task([chunks[:1500], chunks[1500:]]))
+    assert sum(rounded) < len(rows) * len(texts) / 2
+    embedder = Embedder()
+    held, wanted = embedder.counts(texts), embedder.counts(asked)
+    cosine = plain(wanted @ held.T / np.outer(norms(wanted), norms(held)), 6)
+    for q, row in enumerate(rows):
+        shared = [len(set(row["terms"]) & set(t.split())) + (2.0 if row["terms"] and row["normalized"] in t else 0.0) for t in texts]
+        for channel, value in (("vector", cosine[q]), ("lexical", shared)):
+            best = sorted((-v, name) for v, name in zip(value, names) if channel == "vector" or v > 0)[:5]
+            mine = found[(found["query_id"] == q) & (found["channel"] == channel)]
+            assert sorted(zip(-mine["base" if channel == "vector" else "lexical"], mine["chunk_id"])) == best
