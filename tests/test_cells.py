@@ -89,3 +89,32 @@ def test_given_centres_and_small_tables(spark):
     none = cells.build_lists(sparse(spark, x[:0]))
     assert cells.search_lists(queries, none, 5, probes=2, exact=True).count() == 0
     assert cells.search_lists(queries.limit(0), lists, 5, probes=2, exact=True).count() == 0
+
+
+def test_texts_are_embedded_on_the_way_to_their_cells_and_read_cells_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 90, 12)) for _ in range(200)] + ["", None, "Lone"]
+    rows_ = spark.createDataFrame([(f"v{i:04d}", t) for i, t in enumerate(texts)], "chunk_id string, vector_text string")
+    written, plain = [], cells.materialized
+    monkeypatch.setattr(cells, "materialized", lambda table, purpose: (written.append(purpose), plain(table, purpose))[1])
+    stored = cells.build_lists(vectors.with_vectors(rows_, "vector_text").drop("vector_text"))
+    lists = cells.build_lists(rows_)
+    kept = ["chunk_id", "dims", "weights", "norm", "part", "cell"]
+    assert sorted(map(str, lists.rows.select(kept).collect())) == sorted(map(str, stored.rows.select(kept).collect()))
+    asked = vectors.with_vectors(spark.createDataFrame([(1, "w1 w2 w3"), (2, "")], "query_id long, text string"), "text")
+    whole = rows(cells.search_lists(asked, lists, 10, probes=2, exact=True))
+    near = cells.search_lists(asked, lists, 10, probes=2).cache()
+    written.clear()
+    assert rows(cells.search_lists(asked, lists, 10, probes=2, exact=True, near=near)) == whole
+    assert written.count("probes") == 1
+    assert rows(cells.search_lists(asked, lists, 10, probes=2, near=near)) == rows(near)
+
+
+def test_the_nearest_centre_is_that_of_double_precision():
+    rng = np.random.default_rng(9)
+    x, own = rng.normal(size=(300, 50)), rng.normal(size=(40, 50))
+    x, own = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, own))
+    own[20:30] = own[:10] + 1e-9 * own[10:20]
+    own[30:] = own[:10]
+    x[:40], x[40] = own, 0
+    assert (cells._nearest(x, own, own.astype(np.float32)) == (x @ own.T).argmax(axis=1)).all()
