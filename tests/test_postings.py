@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sagewell.operators import postings as lists
 from sagewell.operators.scan import cover_density
@@ -108,3 +109,16 @@ def test_empty_tables(spark):
     assert lists.all_terms(queries, chunks, stored, 5).count() == 0
     some = spark.createDataFrame([("c", "w1 w2")], "chunk_id string, search_text string")
     assert lists.token_overlap(queries.limit(0), some, lists.build_postings(some), 5).count() == 0
+
+
+def test_a_task_writes_a_bounded_share_of_the_lists(spark, small_pieces, tmp_path):
+    texts = corpus(n=600, seed=6)
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, search_text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        stored = lists.build_postings(chunks, str(tmp_path / "table"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    total = stored.terms.selectExpr("sum(df)").first()[0]
+    held = [r["n"] for r in stored.lists.groupBy(F.input_file_name()).agg(F.sum(F.size("entries")).alias("n")).collect()]
+    assert stored.lists.select("shard").distinct().count() < len(held) and max(held) < total / 8
