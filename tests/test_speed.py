@@ -70,3 +70,44 @@ def test_a_scan_rounds_only_pairs_that_may_be_among_the_best(monkeypatch):
             best = sorted((-v, name) for v, name in zip(value, names) if channel == "vector" or v > 0)[:5]
             mine = found[(found["query_id"] == q) & (found["channel"] == channel)]
             assert sorted(zip(-mine["base" if channel == "vector" else "lexical"], mine["chunk_id"])) == best
+
+
+def test_one_product_serves_two_chunks_of_like_length(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 60, size)) for size in rng.integers(0, 90, 150)] + ["w1 " * 700, "w2 " * 3000, ""]
+    asked = ["w1 w2 w3", "", "w4 " * 300 + "w5", "w1", " ".join(f"w{i}" for i in range(60))] * 3
+    rows = [{"query_id": q, "vector_text": t, "normalized": t, "terms": sorted(set(t.split()))} for q, t in enumerate(asked)]
+    embedder = Embedder()
+    wanted = embedder.counts(asked)
+    for size in (153, 152, 2, 1):
+        chunks = pd.DataFrame({"chunk_id": [f"{i:03d}" for i in range(size)], "vector_text": texts[-size:], "search_text": texts[-size:]})
+        group = scan._Group(rows, "overlap", False, True, True)
+        batch, = group.batches([chunks])
+        assert len(batch.packed) == size // 2 and sorted(batch.names) == sorted(chunks["chunk_id"])
+        held = embedder.counts(batch.chunks["vector_text"])
+        assert (batch.counts == held).all() and (batch.norms == norms(held)).all()
+        for block in group.blocks:
+            assert block.exact(batch)
+            assert (block.products(batch) == wanted[block.ids] @ held.T).all()
+            both = [[len(set(rows[q]["terms"]) & set(t.split())) for t in batch.chunks["search_text"]] for q in block.ids]
+            for frequent, half in ((1, scan.HALF), (1500, scan.HALF), (10**9, scan.HALF), (10**9, 3)):
+                monkeypatch.setattr(scan, "FREQUENT", frequent)
+                monkeypatch.setattr(scan, "HALF", half)
+                assert (block.shared(batch) == both).all()
+            monkeypatch.undo()
+
+
+def test_chunks_are_embedded_once_for_twice_as_many_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"c{i}", f"w{i} w{i + 1} w3") for i in range(20)], "chunk_id string, vector_text string")
+    asked = spark.createDataFrame([(i, f"w{i} w3") for i in range(8)], "query_id long, vector_text string")
+    written = []
+    plain = scan.materialized
+    monkeypatch.setattr(scan, "materialized", lambda df, purpose: (written.append(purpose), plain(df, purpose))[1])
+
+    def found(most):
+        monkeypatch.setattr(scan, "MAX_QUERIES", most)
+        return sorted(map(tuple, scan.scan_topk(texts, asked, 3).collect()))
+
+    usual = found(4)
+    assert len(usual) == 24 and not written
+    assert found(2) == usual and len(written) == 2
