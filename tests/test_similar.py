@@ -1,4 +1,5 @@
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -82,3 +83,85 @@ def test_no_side_of_the_join_becomes_a_map_on_the_driver(spark):
     plan = similar.candidate_pairs(left, right, 1.0)._jdf.queryExecution().executedPlan().toString()
     # Only texts of at most one letter are broadcast, of which there are no more than letters.
     assert "BroadcastHashJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == 2
+
+
+def syllables(seed, n, least, most):
+    rng = random.Random(seed)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "ing", "tion", "ble", "wh", " ", " ", " ", ", ", ". "]
+    out = []
+    for _ in range(n):
+        size, text = rng.randrange(least, most), ""
+        while len(text) < size:
+            text += rng.choice(parts)
+        out.append(text)
+    return out
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        corner = 0
+        for j, d in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if c == d else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def near(left, right, floor, measure):
+    return {(left[i], right[j]) for found in similar.alike(left, right, floor, measure) for i, j in zip(*(f.tolist() for f in found), strict=True)}
+
+
+@pytest.mark.parametrize("ranked", [1024, 7])
+def test_no_match_is_lost_among_long_texts_with_popular_letters(monkeypatch, ranked):
+    monkeypatch.setattr(similar, "RANKED", ranked)
+    monkeypatch.setattr(similar, "WIDE", 500)
+    rng = random.Random(3)
+    left = syllables(1, 30, 150, 420)
+    right = [noisy(rng, t, share) for t in left for share in (0.02, 0.1, 0.25, 0.4)] + [t[60:] + t[:60] for t in left] + syllables(2, 20, 190, 210)
+    close = [(a, b) for a in left for b in right if SequenceMatcher(None, a, b).ratio() >= 0.72]
+    found = near(left, right, 0.72, "blocks")
+    assert len(close) >= 30 and found >= set(close) and len(found) < 200
+
+
+def test_letters_in_common_are_counted_beyond_one_number():
+    left, right = syllables(4, 6, 1, 400) + ["", "x"], syllables(5, 8, 1, 500) + ["", "ab"]
+    codes, sizes = similar._codes(right)
+    known, rows = similar.np.unique(codes), similar.np.repeat(similar.np.arange(len(right)), sizes)
+    places = similar._Places(similar._letters(codes, known), rows, sizes, len(known))
+    mine = [similar._letters(similar._codes([t])[0], known) for t in left]
+    everyone = similar.np.tile(similar.np.arange(len(right)), (len(left), 1))
+    found = places.common(mine, everyone, places.masks.shape[1], 1000, 1000)
+    assert found.tolist() == [[longest_common(a, b) for b in right] for a in left]
+
+
+@pytest.mark.parametrize("measure", ["blocks", "edits"])
+def test_texts_of_one_language_are_told_apart_many_at_once(measure):
+    left, right = syllables(6, 400, 20, 380), syllables(7, 4000, 20, 380)
+    start = time.process_time()
+    found = near(left, right + [t[2:] + "x" for t in left[:100]], 0.72, measure)
+    # One by one, 1.6 million pairs of which half share rare letters take minutes.
+    assert len(found) >= 95 and time.process_time() - start < 30
+
+
+def test_what_a_text_does_not_hold_stays_in_its_task():
+    held, texts = syllables(8, 300, 2, 260), syllables(9, 200, 100, 300)
+    texts += ["so " + t + " it is" for t in held]
+    words = similar.np.zeros(1 << 14, similar.np.uint64)
+    for hashes in similar._own_hashes(held):
+        for k in range(similar.MARKS):
+            mark = similar._mark(hashes, k, 64 * len(words))
+            similar.np.bitwise_or.at(words, (mark >> 6).astype(int), similar.np.uint64(1) << (mark & similar.np.uint64(63)))
+    rows, hashes = similar._held_in(texts, words, similar.np.unique([len(t) for t in held]))
+    whole = dict(zip(similar._own_hashes(held)[1].tolist(), held, strict=True))
+    met = {(texts[r], whole[h]) for r, h in zip(rows.tolist(), hashes.tolist(), strict=True) if h in whole}
+    assert met == {(t, h) for t in texts for h in held if h in t}
+    # Every text has hundreds of letter pairs that some other has too; none of them leaves.
+    assert len(rows) < 1.1 * len(met) + 20
+
+
+def test_texts_held_are_found_whatever_their_length(spark):
+    rng = random.Random(11)
+    long = syllables(10, 25, 60, 700) + ["añ" * 70, "日本語" * 30, "aaaa" * 40]
+    short = [t[(i := rng.randrange(len(t))): i + rng.randrange(1, 300)] for t in long for _ in range(6)] + ["aa" * 9, "x", "", "añaña"]
+    frames = [spark.createDataFrame([(t,) for t in side], "text string") for side in (short, long)]
+    found = {(r.left_text, r.right_text) for r in similar.similar_texts(*frames, 1.0).collect()}
+    assert found == {(a, b) for a in short for b in long if a in b or b in a}
